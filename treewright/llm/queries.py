@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import linededup, simhash
 from .runtime import table
 
 
@@ -13,8 +13,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text without repeated chunks, n_lines, n_removed of every document."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_linededup": op2_linededup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_linededup": linededup.ORACLE,
+}
