@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linededup, simhash
+from . import decontam, linededup, simhash
 from .runtime import table
 
 
@@ -18,11 +19,21 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that lie in a window of some benchmark item, and a digest of the items."""
+    found = decontam.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"), F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated")
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_linededup": op2_linededup,
+    "op3_decontam": op3_decontam,
 }
 
 ORACLES: dict[str, str] = {
     "op2_linededup": linededup.ORACLE,
+    "op3_decontam": decontam.ORACLE,
 }
