@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, simhash
+from . import decontam, linededup, packing, simhash
 from .runtime import table
 
 
@@ -27,10 +27,27 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file() -> str:
+    """The vocabulary that the packing query names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 ids."""
+    return packing_digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+def packing_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_linededup": op2_linededup,
     "op3_decontam": op3_decontam,
+    "op7_packing": op7_packing,
 }
 
 ORACLES: dict[str, str] = {
