@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, packing, simhash
+from . import decontam, langid, linededup, packing, simhash
 from .runtime import table
 
 
@@ -27,6 +27,13 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit_documents(docs), keep=["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def tokenizer_file() -> str:
     """The vocabulary that the packing query names."""
     import public_tokenizers
@@ -47,6 +54,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_linededup": op2_linededup,
     "op3_decontam": op3_decontam,
+    "op4_langid": op4_langid,
     "op7_packing": op7_packing,
 }
 
