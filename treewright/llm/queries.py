@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, packing, simhash
+from . import decontam, langid, linededup, packing, simhash, toxicity
 from .runtime import table
 
 
@@ -34,6 +34,13 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labelled ones that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit_documents(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def tokenizer_file() -> str:
     """The vocabulary that the packing query names."""
     import public_tokenizers
@@ -55,6 +62,7 @@ QUERIES = {
     "op2_linededup": op2_linededup,
     "op3_decontam": op3_decontam,
     "op4_langid": op4_langid,
+    "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
 }
 
