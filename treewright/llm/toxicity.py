@@ -152,9 +152,9 @@ def _candidates(rows: DataFrame) -> list[tuple[str, int, int]]:
     return [(x.term, x.pos, x.neg) for x in found.collect()]
 
 
-def _occurrences(rows: DataFrame, terms: list[str]):
+def _occurrences(rows: DataFrame, terms: list[str], exceptions: set[str] = frozenset()):
     """Of every labelled row: label, words, the terms' numbers with repeats, and the phrases around them."""
-    lexicon = Lexicon(dict.fromkeys(terms, 1.0))
+    lexicon = Lexicon(dict.fromkeys(terms, 1.0), exceptions)
     number = {t: k for k, t in enumerate(terms)}
 
     def run(batches):
@@ -237,17 +237,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = {t for t, _, _ in candidates}
     candidates += [(t, 0, 0) for t in seeds if t not in known]
     found = _occurrences(rows, [t for t, _, _ in candidates])
-    toxic, clean = Counter(k for r in found if r.toxic for k in set(r.terms)), Counter(k for r in found if not r.toxic for k in set(r.terms))
     n_toxic = sum(r.toxic for r in found)
-    odds = lambda k: math.log((toxic[k] + 0.5) / (n_toxic + 1)) - math.log((clean[k] + 0.5) / (len(found) - n_toxic + 1))
     taken = _greedy(candidates, found)
+    chosen = {candidates[k][0] for k in taken} | set(seeds)
+    bad = Counter(p for r in found if r.toxic for p in r.around)
+    good = Counter(p for r in found if not r.toxic for p in r.around)
+    exceptions = {p for p, n in good.items() if n >= 3 and not bad[p] and any(t.strip() in p for t in chosen)}
+    if exceptions:  # counted anew, without what they hide
+        found = _occurrences(rows, [t for t, _, _ in candidates], exceptions)
+    toxic, clean = Counter(k for r in found if r.toxic for k in set(r.terms)), Counter(k for r in found if not r.toxic for k in set(r.terms))
+    odds = lambda k: math.log((toxic[k] + 0.5) / (n_toxic + 1)) - math.log((clean[k] + 0.5) / (len(found) - n_toxic + 1))
     weights = {candidates[k][0]: odds(k) for k in taken}
     for k, (term, _, _) in enumerate(candidates):
         if term in seeds and not any(term.startswith(t) for t in weights) and (not clean[k] or odds(k) >= MIN_LOG_ODDS):
             weights[term] = max(MIN_LOG_ODDS, odds(k)) if toxic[k] else MIN_LOG_ODDS
-    bad = Counter(p for r in found if r.toxic for p in r.around)
-    good = Counter(p for r in found if not r.toxic for p in r.around)
-    exceptions = {p for p, n in good.items() if n >= 3 and not bad[p]}
     lexicon = Lexicon(weights, exceptions)
     if 0 < n_toxic < len(found):
         inside = {k for k, (t, _, _) in enumerate(candidates) if t in weights}
