@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, packing, simhash, toxicity
+from . import decontam, langid, linededup, packing, quality, simhash, toxicity
 from .runtime import table
 
 
@@ -57,6 +57,11 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and verdict of every document."""
+    return quality.assess(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_linededup": op2_linededup,
@@ -64,6 +69,7 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = {
