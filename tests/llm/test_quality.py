@@ -53,13 +53,13 @@ def test_em_recovers_planted_rates():
     for _ in range(30000):
         defect = r.choices(defects, [0.8, 0.08, 0.04, 0.05, 0.03])[0]
         held[defect] = held.get(defect, 0) + 1
-        vote = tuple(r.choices((-1, 0, 1), (0.84, 0.1, 0.06) if name == defect else (0.03, 0.07, 0.9))[0] for name, _, _, _ in quality.RULES)
+        vote = tuple(r.choices((-1, 0, 1), (0.84, 0.1, 0.06) if name == defect else (0.004, 0.07, 0.926))[0] for name, _, _, _ in quality.RULES)
         counts[vote] = counts.get(vote, 0) + 1
     model = quality.estimate(sorted(counts.items()))
     for defect, (share, rates) in zip(defects, model):
         assert abs(share - held[defect] / 30000) < 0.03
         for (name, _, _, _), rate in zip(quality.RULES, rates):
-            assert abs(rate - (0.93 if name == defect else 0.03)) < 0.12
+            assert abs(rate - (0.93 if name == defect else 0.004)) < 0.12
     assert quality._posteriors((1,) * len(quality.RULES), model)[0] > 0.98
 
 
