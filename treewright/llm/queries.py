@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, packing, quality, simhash, toxicity
+from . import decontam, htmltext, langid, linededup, packing, quality, simhash, toxicity
 from .runtime import table
 
 
@@ -62,6 +62,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_linededup": op2_linededup,
@@ -70,6 +75,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
+    "op10_htmltext": op10_htmltext,
 }
 
 ORACLES: dict[str, str] = {
