@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, langid, linededup, packing, quality, simhash, toxicity
-from .runtime import table
+from . import chat, decontam, htmltext, langid, linededup, packing, quality, simhash, toxicity, warc
+from .runtime import cut, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of every page, read back from the archives written."""
+    archives = cut(warc.to_chunks(table(spark, sf_dir, "pages")), "warc-archives")
+    return warc.read_records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def tokenizer_file() -> str:
     """The vocabulary that the packing query names."""
     import public_tokenizers
@@ -77,12 +83,21 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(planted)))
 
 
+OP6_SQL = f"""
+with p as (select page_id, coalesce(html, '') as payload from pages),
+     r as (select payload, max(page_id) as response from p where strlen(payload) >= {warc.MIN_REVISIT} group by payload)
+select p.page_id, strlen(p.payload)::bigint as payload_bytes, sha1(p.payload) as payload_digest,
+       case when r.response <> p.page_id then 'revisit' else 'response' end as record_type,
+       case when r.response <> p.page_id then r.response end as refers_to
+from p left join r using (payload)"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_linededup": op2_linededup,
     "op3_decontam": op3_decontam,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
@@ -92,4 +107,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_linededup": linededup.ORACLE,
     "op3_decontam": decontam.ORACLE,
+    "op6_warc": OP6_SQL,
 }

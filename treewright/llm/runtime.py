@@ -84,3 +84,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def masked(df: DataFrame):
+    """df with columns c0, c1, ..., the new name of each column, and what puts the old names back.
+
+    For operators that add columns: df's own names, whatever they are, can't clash.
+    """
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    inner = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return inner, names, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
