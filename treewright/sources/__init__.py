@@ -1,0 +1 @@
+"""Sources and sinks: file tables, snapshots, wire formats."""
