@@ -122,3 +122,55 @@ def shadowed_names(definitions: DataFrame) -> DataFrame:
 def occurrence_ordinals(closures: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Closures of one identity numbered by position."""
     return closures.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def longest_base(targets: DataFrame, bases: DataFrame) -> DataFrame:
+    """(target, base): the longest known base that starts a target, ending at it or before a `<` or `#`.
+
+    Every prefix that ends there is looked up, so the join is an equi-join.
+    """
+    ends = F.filter(F.sequence(F.lit(1), F.length("target")), lambda n: F.substring("target", n + 1, F.lit(1)).isin("", "<", "#"))
+    prefixes = targets.select("target").distinct().select("target", F.explode(F.transform(ends, lambda n: F.substring("target", F.lit(1), n))).alias("base"))
+    return prefixes.join(bases.select("base").distinct(), "base").groupBy("target").agg(F.max_by("base", F.length("base")).alias("base"))
+
+
+def rewrite_open_generics(calls: DataFrame, parameters: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(caller, ord, target): method calls on a parameter of generic type, as `T as Bound`::method with exactly one bound, else T::method.
+
+    calls: caller, ord, receiver, method. parameters: caller, receiver, type. bounds: caller, type, bound.
+    """
+    known = bounds.groupBy("caller", "type").agg(F.array_sort(F.collect_set("bound")).alias("bounds"))
+    rows = calls.join(parameters, ["caller", "receiver"]).join(known, ["caller", "type"])
+    owner = F.when(F.size("bounds") == 1, F.concat("type", F.lit(" as "), F.col("bounds")[0])).otherwise(F.col("type"))
+    return rows.select("caller", "ord", F.concat(owner, F.lit("::"), "method").alias("target"))
+
+
+def resolve_in_groups(calls: DataFrame, members: DataFrame) -> DataFrame:
+    """(caller, ord, sym): calls by a name that exactly one member of the caller's group has.
+
+    calls: caller, ord, name, group. members: group, name, sym.
+    """
+    found = calls.join(members, ["group", "name"]).groupBy("caller", "ord").agg(F.collect_set("sym").alias("s"))
+    return found.where(F.size("s") == 1).select("caller", "ord", F.col("s")[0].alias("sym"))
+
+
+def without_constructors(calls: DataFrame, constructors: DataFrame) -> DataFrame:
+    """Unresolved calls whose target is a constructor's name go."""
+    return calls.join(constructors.select(F.col("name").alias("target"), F.lit("unresolved").alias("target_tag")), ["target", "target_tag"], "left_anti")
+
+
+def instantiate_functors(functions: DataFrame, instances: DataFrame, parameters: DataFrame) -> DataFrame:
+    """the functions of functor modules once more for each instance, parameters replaced by its arguments.
+
+    functions: sym, module, name, target (a call's path). instances: instance, functor, arguments (an array).
+    parameters: functor, index, parameter. An instance whose number of arguments differs from the parameters' is left out,
+    and so is a symbol that exists.
+    """
+    names = parameters.groupBy("functor").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "parameter"))), lambda x: x["parameter"]).alias("names"))
+    made = instances.join(names, "functor").where(F.size("names") == F.size("arguments"))
+    rows = made.join(functions, F.col("functor") == F.col("module"))
+    head = F.substring_index("target", ".", 1)
+    at = F.array_position("names", head)
+    target = F.when(at > 0, F.concat(F.element_at("arguments", F.greatest(at, F.lit(1)).cast("int")), F.substring("target", F.length(head) + 1, F.length("target")))).otherwise(F.col("target"))
+    new = rows.select(F.concat_ws(".", "instance", "name").alias("sym"), F.col("instance").alias("module"), "name", target.alias("target"))
+    return new.join(functions.select("sym"), "sym", "left_anti")

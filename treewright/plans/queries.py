@@ -364,6 +364,54 @@ def x27_inline_forwarders(spark, d):
     return out.select(F.substring_index("caller", ":", -1).cast("long").alias("caller"), F.col("ord").alias("part"), "target_tag", "target")
 
 
+@query("select event_id, event_type || '<' || user_id || '>' as target, case when user_id % 3 = 0 then event_type || '<' || user_id || '>' else event_type end as base from events")
+def f9_longest_base(spark, d):
+    e = bridge.load(spark, d, "events")
+    target = F.concat("event_type", F.lit("<"), "user_id", F.lit(">"))
+    bases = e.select(F.col("event_type").alias("base")).union(e.where("user_id % 3 = 0").select(target))
+    return e.select("event_id", target.alias("target")).join(flow.longest_base(e.select(target.alias("target")), bases), "target").select("event_id", "target", "base")
+
+
+@query(
+    """with b as (select l_orderkey as caller, 'T' || l_suppkey % 3 as t, list_sort(list(distinct 'B' || l_partkey % 2)) as bs from lineitem where l_orderkey % 5 = 0 group by 1, 2)
+    select distinct l_orderkey as caller, l_linenumber::int as ord, case when len(bs) = 1 then t || ' as ' || bs[1] else t end || '::m' as target from lineitem join b on caller = l_orderkey and t = 'T' || l_suppkey % 3 where l_orderkey % 5 = 0"""
+)
+def x13_open_generics(spark, d):
+    lines = bridge.load(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    kind = F.concat(F.lit("T"), (F.col("l_suppkey") % 3).cast("string"))
+    calls = lines.select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").cast("int").alias("ord"), F.lower(kind).alias("receiver"), F.lit("m").alias("method")).distinct()
+    parameters = lines.select(F.col("l_orderkey").alias("caller"), F.lower(kind).alias("receiver"), kind.alias("type")).distinct()
+    bounds = lines.select(F.col("l_orderkey").alias("caller"), kind.alias("type"), F.concat(F.lit("B"), (F.col("l_partkey") % 2).cast("string")).alias("bound"))
+    return flow.rewrite_open_generics(calls, parameters, bounds)
+
+
+@query("select a.event_id as caller, min(b.event_id)::varchar as sym from events a join events b on a.user_id = b.user_id and a.event_type = b.event_type where a.event_id % 5 = 0 and b.event_id % 4 = 0 group by 1 having count(distinct b.event_id) = 1")
+def x19_groups(spark, d):
+    e = bridge.load(spark, d, "events")
+    calls = e.where("event_id % 5 = 0").select(F.col("event_id").alias("caller"), F.lit(0).alias("ord"), F.col("event_type").alias("name"), F.col("user_id").alias("group"))
+    members = e.where("event_id % 4 = 0").select(F.col("user_id").alias("group"), F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("sym"))
+    return flow.resolve_in_groups(calls, members).select("caller", "sym")
+
+
+@query("select event_id, event_type as target from events where not (event_type = 'click' and event_id % 2 = 0)")
+def x28_constructors(spark, d):
+    e = bridge.load(spark, d, "events").select("event_id", F.col("event_type").alias("target"), F.when(F.col("event_id") % 2 == 0, "unresolved").otherwise("direct").alias("target_tag"))
+    return flow.without_constructors(e, spark.createDataFrame([("click",)], "name string")).select("event_id", "target")
+
+
+@query("select 'I' || n_nationkey || '.f' || s_suppkey as sym, case when s_suppkey % 2 = 0 then 'N' || n_nationkey || '.go' else 'Other.go' end as target from nation join supplier on s_suppkey % 5 = n_regionkey where n_nationkey % 4 > 0 and not (n_nationkey = 1)")
+def f17_functors(spark, d):
+    supplier, nation = bridge.load(spark, d, "supplier"), bridge.load(spark, d, "nation")
+    module = F.concat(F.lit("F"), (F.col("s_suppkey") % 5).cast("string"))
+    name = F.concat(F.lit("f"), "s_suppkey")
+    functions = supplier.select(F.concat(module, F.lit("."), name).alias("sym"), module.alias("module"), name.alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "X.go").otherwise("Other.go").alias("target"))
+    there = supplier.select(F.concat(F.lit("I1."), name).alias("sym"), F.lit("I1").alias("module"), name.alias("name"), F.lit("Kept.go").alias("target"))
+    argument = F.concat(F.lit("N"), "n_nationkey")
+    instances = nation.select(F.concat(F.lit("I"), "n_nationkey").alias("instance"), F.concat(F.lit("F"), "n_regionkey").alias("functor"), F.when(F.col("n_nationkey") % 4 > 0, F.array(argument)).otherwise(F.array(argument, argument)).alias("arguments"))
+    parameters = bridge.load(spark, d, "region").select(F.concat(F.lit("F"), "r_regionkey").alias("functor"), F.lit(0).alias("index"), F.lit("X").alias("parameter"))
+    return flow.instantiate_functors(functions.unionByName(there), instances, parameters).select("sym", "target")
+
+
 # Scalars
 
 
