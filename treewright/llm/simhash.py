@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import byte_list, cut, drop
+from .runtime import bounded_batches, byte_list, cut, drop
 
 SEED = 42
 SHINGLE = 4
@@ -46,6 +46,8 @@ BUCKET = 4096
 HASHED_AT_ONCE = 1 << 17
 #: Query-word pairs compared at once.
 ITEMS = 1 << 16
+#: Rows of sorted buckets compared at once, and what is left of the last bucket.
+FLUSH = 1 << 16
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -77,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def _blocks(bits: list[int], n: int) -> list[int]:
@@ -191,18 +193,21 @@ def _links(radius: int):
         return pa.RecordBatch.from_arrays([pa.array(u[apart]), pa.array(v[apart])], ["u", "v"])
 
     def run(batches):
-        held = None
+        held, waiting, rows = None, [], 0
         for b in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
-            if not len(held[0]):
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            rows += b.num_rows
+            if rows < FLUSH:
                 continue
+            held = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting)]
+            waiting, rows = [], 0
             edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in held[2:]], axis=0)) + 1
             if len(edge):  # the last bucket may go on in the next batch
                 to = edge[-1]
                 yield forest([k[:to] for k in held], edge[:-1])
                 held = [k[to:] for k in held]
-        if held is not None and len(held[0]):
+        held = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting)]
+        if held and len(held[0]):
             edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in held[2:]], axis=0)) + 1
             yield forest(held, edge)
 
