@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import byte_list, fold_of, free_name
+from .runtime import bounded_batches, byte_list, fold_of, free_name
 
 BITS = 6
 MAX_LANGUAGES = 256
@@ -187,15 +187,29 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(f"lang is not null and text is not null and lang <> '{UNKNOWN}'")
 
     def count(batches):
+        numbers: dict[str, int] = {}
+        parts, held = [], 0
+
+        def merged():
+            both, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
         for b in batches:
-            names = b.column(0).to_pylist()
-            languages = sorted(set(names))
-            number = np.array([languages.index(x) for x in names], np.int64)
+            number = np.array([numbers.setdefault(x, len(numbers)) for x in b.column(0).to_pylist()], np.int64)
             for keys, docs in keys_of(byte_list(b.column(1))):
-                both, n = np.unique(number[docs] << 4 * BITS | keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([languages[x] for x in (both >> 4 * BITS).tolist()]), pa.array((both & ((1 << 4 * BITS) - 1)).astype(np.int32)), pa.array(n)], ["lang", "key", "n"])
-
-    counted = rows.mapInArrow(count, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+                parts.append(np.unique(number[docs] << 4 * BITS | keys, return_counts=True))
+                held += len(parts[-1][0])
+                if held >= AT_ONCE:
+                    parts = [merged()]
+                    held = 0
+        if parts:
+            both, n = merged()
+            languages = np.array([*numbers], object)
+            for at in range(0, len(both), 1 << 16):
+                part = both[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(languages[part >> 4 * BITS], pa.string()), pa.array((part & ((1 << 4 * BITS) - 1)).astype(np.int32)), pa.array(n[at : at + (1 << 16)])], ["lang", "key", "n"])
+
+    counted = bounded_batches(rows).mapInArrow(count, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     if counted.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     found = counted.toArrow().sort_by([("lang", "ascending"), ("key", "ascending")])
@@ -221,7 +235,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                 kinds = [pa.string(), pa.float64(), pa.bool_(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x, k) for x, k in zip(found, kinds)]], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
