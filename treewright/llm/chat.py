@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import byte_list
+from .runtime import bounded_batches, byte_list
 
 START, MIDDLE, END = b"<|start|>", b"\n", b"<|end|>\n"
 SEGMENT = 4 << 20
@@ -139,7 +139,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                 at = to
 
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, SCHEMA)
+    return bounded_batches(dealt).mapInArrow(run, SCHEMA)
 
 
 def read_turns(formatted: bytes) -> list[tuple[bytes, bytes]]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import byte_list, free_name
+from .runtime import bounded_batches, byte_list, free_name
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
@@ -270,7 +270,7 @@ def _pass(spark, rows: DataFrame, block, n_keep: int, own: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: n_keep + 1], hits], names)
                 at = to
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:

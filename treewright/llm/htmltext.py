@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import free_name
+from .runtime import bounded_batches, free_name
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|</?[a-zA-Z!][^<]*+\Z|[^<]++|<""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
@@ -316,4 +316,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: list[str] | Non
                 texts = [extract(x) for x in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)

@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_batches
+
 WINDOW = 2048
 END = 1
 SENTENCE = 16
@@ -226,7 +228,8 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
                 yield from _batches(rows)
         yield from _batches(packer.finish())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return bounded_batches(rows).mapInArrow(run, SCHEMA)
 
 
 def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:

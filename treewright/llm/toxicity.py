@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import fold_of, free_name
+from .runtime import bounded_batches, fold_of, free_name
 
 FIT_ROWS = 20_000
 #: Candidates looked at and terms taken at most; both bound what is sent to the tasks.
@@ -278,7 +278,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: list[
                 scores = lexicon.scores(part.column(len(keep)).to_pylist(), automaton)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

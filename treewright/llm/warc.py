@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import byte_list
+from .runtime import bounded_batches, byte_list
 
 CHUNK = 1 << 16
 MIN_REVISIT = 1000
@@ -107,7 +107,7 @@ def to_chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", p
         if held:
             yield _batch(held)
 
-    return with_types(pages, id_col, url_col, payload_col).select(*names).mapInArrow(run, CHUNKS)
+    return bounded_batches(with_types(pages, id_col, url_col, payload_col).select(*names)).mapInArrow(run, CHUNKS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -177,4 +177,5 @@ def read_records(chunks: DataFrame) -> DataFrame:
         if record:
             yield batch([record.row()])
 
-    return chunks.repartition("archive", "record_id").sortWithinPartitions("archive", "record_id", "chunk").select("chunk", "data", "sha1").mapInArrow(run, RECORDS)
+    dealt = chunks.repartition("archive", "record_id").sortWithinPartitions("archive", "record_id", "chunk").select("chunk", "data", "sha1")
+    return bounded_batches(dealt).mapInArrow(run, RECORDS)
