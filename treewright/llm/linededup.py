@@ -2,11 +2,12 @@
 
 All of it is DataFrame functions. A text is split at newlines. A rolling hash
 over the hashes of the last two lines chooses chunk ends, and a line of LONG
-characters or more (a paragraph: several sentences on one line) ends the chunk
-before it and its own, so a boundary depends on neighbouring lines alone and
-shifted copies fall into the same chunks. A chunk counts if it has two lines or
-more and at least SHORT characters, or is one long line. Of the chunks with
-equal bytes the first (smallest doc_id, then position) stays; the others go.
+characters or more ends the chunk before it and its own, so a boundary depends
+on neighbouring lines alone and shifted copies fall into the same chunks. A chunk
+counts if it has LONG characters or more. Of the chunks with equal bytes the
+first (smallest doc_id, then position) stays; the others go where such chunks in
+a row make up at least RUN characters, so a passage goes and a lone stock line
+stays.
 
 Plan: chunk hashes alone are grouped over the whole corpus; the places of
 repeated hashes go back to their documents in one join on the document's key;
@@ -29,10 +30,10 @@ from .runtime import cut, drop
 
 #: One line in DIVISOR ends a chunk.
 DIVISOR = 2
-#: Characters of a line that is a chunk of its own.
-LONG = 160
-#: Characters that a chunk of several lines needs in order to count.
-SHORT = 60
+#: Characters of a line that is a chunk of its own, and of a chunk that counts.
+LONG = 60
+#: Characters of repeated chunks in a row that go.
+RUN = 200
 
 
 def _line_hash(line: Column) -> Column:
@@ -57,8 +58,21 @@ def _text_of(chunk: Column) -> Column:
     return F.array_join(F.slice("lines", chunk["start"] + 1, chunk["n"]), "\n")
 
 
+def _runs(numbers: str) -> Column:
+    """(a, b) of each run of neighbours in a sorted array of numbers."""
+    firsts = F.filter(numbers, lambda x, k: F.coalesce(F.get(numbers, k - 1) != x - 1, F.lit(True)))
+    lasts = F.filter(numbers, lambda x, k: F.coalesce(F.get(numbers, k + 1) != x + 1, F.lit(True)))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def _lines_between(a: Column, b: Column) -> Column:
+    """The text from chunk a's first line to chunk b's last."""
+    first, last = F.get("chunks", a), F.get("chunks", b)
+    return F.array_join(F.slice("lines", first["start"] + 1, last["start"] + last["n"] - first["start"]), "\n")
+
+
 def _counted(chunk: Column) -> Column:
-    return F.length(chunk["t"]) >= F.when(chunk["n"] > 1, SHORT).otherwise(LONG)
+    return F.length(chunk["t"]) >= LONG
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -97,8 +111,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         gone = F.filter("places", lambda p: F.when(F.array_contains(F.coalesce("told", F.array().cast("array<bigint>")), p["hash"]), ~F.array_contains(F.coalesce("own", kept), p["idx"])).otherwise(~p["first"]))
     else:
         gone = F.filter("places", lambda p: ~p["first"])
-    joined = joined.withColumn("gone", F.transform(gone, lambda p: p["idx"]))
-    out = _chunked(joined, text)
+    out = _chunked(joined.withColumn("again", F.array_sort(F.transform(gone, lambda p: p["idx"]))), text)
+    out = out.withColumn("runs", _runs("again"))
+    out = out.withColumn("gone", F.flatten(F.transform(F.filter("runs", lambda r: F.length(_lines_between(r["a"], r["b"])) >= RUN), lambda r: F.sequence(r["a"], r["b"]))))
     out = out.withColumn("stay", F.when(F.size("gone") > 0, F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("gone"))))
     parts = F.transform("stay", lambda k: F.get("chunks", k))
     out = out.withColumn("parts", parts)
@@ -127,9 +142,14 @@ lines as (
   select doc_id, idx, count(*) as n, string_agg(line, chr(10) order by i) as t from numbered group by doc_id, idx
 ), firsts as (
   select t, min(struct_pack(d := doc_id, k := idx)) as f from chunks
-  where length(t) >= (case when n > 1 then {SHORT} else {LONG} end) group by t having count(*) > 1
+  where length(t) >= {LONG} group by t having count(*) > 1
+), again as (
+  select c.*, idx - row_number() over (partition by doc_id order by idx) as run
+  from chunks c join firsts f on c.t = f.t where struct_pack(d := c.doc_id, k := c.idx) <> f.f
+), gone as (
+  select doc_id, idx from again qualify sum(length(t) + 1) over (partition by doc_id, run) > {RUN}
 ), flagged as (
-  select c.*, f.t is not null and struct_pack(d := c.doc_id, k := c.idx) <> f.f as gone from chunks c left join firsts f on c.t = f.t
+  select c.*, g.idx is not null as gone from chunks c left join gone g on c.doc_id = g.doc_id and c.idx = g.idx
 ), deduped as (
   select doc_id, coalesce(string_agg(t, chr(10) order by idx) filter (not gone), '') as text, sum(n)::bigint as n_lines,
          coalesce(sum(n) filter (gone), 0)::bigint as n_removed
