@@ -91,6 +91,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = cut(chunks.select("id", "sum", F.inline(F.transform("texts", lambda c: F.struct(c["idx"].alias("idx"), chunk_hash(c["t"]).alias("hash"))))), "lines-places")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "sum", "idx")
     repeated = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select("hash", "first")
+    # Written, so that both sides of the join have an exchange of their own and a frequent chunk's rows can be split.
+    repeated = cut(repeated, "lines-repeated")
     found = places.join(repeated, "hash").select("id", "sum", F.struct("idx", "hash", (order == F.col("first")).alias("first")).alias("place"))
     found = found.groupBy("id", "sum").agg(F.collect_set("place").alias("places"))
     joined = rows.select("doc", *key).alias("a").join(found.alias("b"), F.expr("a.id <=> b.id and a.sum = b.sum"), "left").select("doc", "a.id", "a.sum", "places")
