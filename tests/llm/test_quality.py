@@ -67,3 +67,16 @@ def test_plan_has_no_python(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     plan = quality.metrics(docs, F.col("text"), ["doc_id"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_few_distinct_words_count_at_every_length(spark):
+    r = random.Random(9)
+    few, many = [f"few{k}" for k in range(300)], [f"many{k}" for k in range(3000)]
+    sizes = [1999, 2000, 2400, 5999, 20000]
+    rows = [(n, " ".join(r.choices(few, k=n))) for n in sizes] + [(-n, " ".join(r.choices(many, k=n))) for n in sizes]
+    docs = spark.createDataFrame([*rows, (0, None), (1, "one word")], "doc_id long, text string")
+    got = quality.metrics(docs, F.col("text"), ["doc_id"]).select("doc_id", "n_kinds", "n_kind_words", *quality.votes()).collect()
+    vote = {x.doc_id: x.v_kinds for x in got}
+    assert [vote[n] for n in sizes] == [-1] * 5
+    assert [vote[-n] for n in sizes] == [1] * 5
+    assert {x.doc_id: (x.n_kinds, x.n_kind_words) for x in got if x.doc_id in (0, 1)} == {0: (0, 0), 1: (2, 2)}

@@ -40,6 +40,8 @@ FALSE_ALARMS = 0.005
 FOUND = 0.8
 KEEP = 0.5
 WINDOW = 5
+#: Words in which distinct ones are counted: a longer text has several such parts, the last of them up to its end.
+PART = 2000
 SYMBOLS = "#*$%&|<>"
 SPACE = "[\\x20\\x09-\\x0D]"
 UPPER = "".join(map(chr, [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
@@ -48,7 +50,10 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def metrics(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """The columns in keep, METRICS, and those that only the rules read: n_lines, n_ended, n_upper, n_kinds."""
+    """The columns in keep, METRICS, and those that only the rules read: n_lines, n_ended, n_upper, n_kinds, n_kind_words.
+
+    n_kinds adds up the distinct words of each part of PART words, n_kind_words the words of the parts.
+    """
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(text, F.lit("")).alias("_t"))
     without = lambda signs: F.length(F.translate("_t", signs, ""))
     rows = rows.withColumn("_w", F.transform(F.filter(F.split("_t", SPACE + "+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
@@ -58,6 +63,8 @@ def metrics(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
     same = lambda x, i: (F.get("_s", i - 1)["h"] == x["h"]) | F.coalesce(F.get("_s", i + 1)["h"] == x["h"], F.lit(False))
     rows = rows.withColumn("_p", F.sort_array(F.transform(F.filter("_s", lambda x, i: F.coalesce(same(x, i), F.coalesce(F.get("_s", i + 1)["h"] == x["h"], F.lit(False)))), lambda x: x["i"])))
     covered = F.aggregate(F.transform("_p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
+    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_w") / PART).cast("int") - 1, F.lit(0)))
+    kinds = F.transform(parts, lambda k: F.size(F.array_distinct(F.slice("_w", F.greatest(F.least(k * PART, F.size("_w") - PART), F.lit(0)) + 1, F.lit(PART)))))
     return rows.select(
         *[F.col(f"`{c}`") for c in keep],
         F.size("_w").cast("long").alias("n_words"),
@@ -68,7 +75,8 @@ def metrics(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
         F.size("_l").alias("n_lines"),
         F.size(F.filter("_l", lambda x: x.rlike("[.!?…][\"'”»)\\]]*[\\x20\\x09-\\x0D]*$"))).alias("n_ended"),
         (F.length("_t") - without(UPPER)).alias("n_upper"),
-        F.size(F.array_distinct("_w")).alias("n_kinds"),
+        F.aggregate(kinds, F.lit(0), lambda a, x: a + x).alias("n_kinds"),
+        (F.size(parts) * F.least(F.size("_w"), F.lit(PART))).alias("n_kind_words"),
     )
 
 
@@ -79,7 +87,7 @@ RULES = [
     ("symbols", "10 * n_symbols > n_words", "n_symbols = 0", True),
     ("dup_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0", True),
     ("repeats", "10 * n_repeat_words > n_words", "50 * n_repeat_words <= n_words", False),
-    ("kinds", "5 * n_kinds < n_words and n_words < 2000", "3 * n_kinds > n_words", True),
+    ("kinds", "5 * n_kinds < n_kind_words", "3 * n_kinds > n_kind_words", True),
     ("upper", "10 * n_upper > 5 * word_chars", "10 * n_upper < 2 * word_chars", True),
     ("ended", "10 * n_ended < n_lines", "2 * n_ended >= n_lines", False),
 ]
