@@ -29,22 +29,20 @@ def called_parameters(direct: DataFrame, passed: DataFrame) -> DataFrame:
         seen = seen.union(frontier)
 
 
-def expand_aliases(paths: DataFrame, aliases: DataFrame, rounds: int = 64) -> DataFrame:
-    """(path, expanded): the longest alias that starts a path is rewritten until none does; a cycle ends it.
+def expand_aliases(paths: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, expanded): the longest alias that starts a path is rewritten until none does or it was used for that path before.
 
     Paths and targets are `a.b.c` strings; aliases: alias, target.
     """
-    state = cut(paths.select("path").distinct().select("path", F.col("path").alias("expanded"), F.array("path").alias("seen"), F.lit(True).alias("live")), "alias")
-    for _ in range(rounds):
+    state = cut(paths.select("path").distinct().select("path", F.col("path").alias("expanded"), F.array().cast("array<string>").alias("used"), F.lit(True).alias("live")), "alias")
+    while not state.where("live").isEmpty():
         parts = F.split("expanded", "\\.")
-        heads = state.where("live").select("path", "expanded", "seen", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("alias"))
+        heads = state.where("live").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("alias"))
         best = heads.join(aliases.select("alias", "target"), "alias").groupBy("path").agg(F.max_by(F.struct("alias", "target"), F.struct(F.length("alias"), "target")).alias("b"))
         new = F.concat("b.target", F.substring("expanded", F.length("b.alias") + 1, F.length("expanded")))
-        step = state.join(best, "path", "left").withColumn("new", F.when(F.col("live") & F.col("b").isNotNull(), new))
-        goes = F.col("new").isNotNull() & ~F.array_contains("seen", F.coalesce("new", F.lit("")))
-        state = cut(step.select("path", F.when(goes, F.col("new")).otherwise(F.col("expanded")).alias("expanded"), F.when(goes, F.concat("seen", F.array("new"))).otherwise(F.col("seen")).alias("seen"), goes.alias("live")), "alias")
-        if state.where("live").isEmpty():
-            break
+        step = state.join(best, "path", "left")
+        goes = F.col("live") & F.col("b").isNotNull() & ~F.coalesce(F.array_contains("used", F.col("b.alias")), F.lit(False))
+        state = cut(step.select("path", F.when(goes, new).otherwise(F.col("expanded")).alias("expanded"), F.when(goes, F.concat("used", F.array("b.alias"))).otherwise(F.col("used")).alias("used"), goes.alias("live")), "alias")
     return state.select("path", "expanded")
 
 
@@ -68,11 +66,11 @@ def inline_forwarders(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return swapped.select("caller", "ord", F.when(inlined, "dynamic").otherwise(F.col("target_tag")).alias("target_tag"), F.when(inlined, F.col("final")).otherwise(F.col("target")).alias("target"))
 
 
-def specialize(edges: DataFrame, contexts: DataFrame, roots: DataFrame, max_context: int = 64) -> DataFrame:
+def specialize(edges: DataFrame, contexts: DataFrame, roots: DataFrame) -> DataFrame:
     """(fn, ctx, key): every function under every context that reaches it from a root.
 
     contexts (src, dst, adds): a call adds the values in adds to the callee's context; calls without a row
-    pass their own context on. A context over max_context values widens to ["*"], which bounds the states.
+    pass their own context on. Contexts are sets of the values in adds, so the states are finite.
     """
     calls = cut(edges.select("src", "dst").distinct().join(contexts.select("src", "dst", "adds"), ["src", "dst"], "left"), "contexts")
     empty = F.array().cast("array<string>")
@@ -80,8 +78,7 @@ def specialize(edges: DataFrame, contexts: DataFrame, roots: DataFrame, max_cont
     while True:
         joined = frontier.join(calls, frontier["fn"] == calls["src"])
         merged = F.array_sort(F.array_union("ctx", F.coalesce("adds", empty)))
-        widened = F.when((F.size(merged) > max_context) | F.array_contains(merged, "*"), F.array(F.lit("*"))).otherwise(merged)
-        found = joined.select(F.col("dst").alias("fn"), widened.alias("ctx")).distinct()
+        found = joined.select(F.col("dst").alias("fn"), merged.alias("ctx")).distinct()
         frontier = cut(found.join(seen, ["fn", "ctx"], "left_anti"), "special")
         if frontier.isEmpty():
             break
