@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +63,28 @@ def test_damage_is_found(spark):
 
 def test_empty(spark):
     assert warc.read_records(warc.to_chunks(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_payloads_cross_no_exchange(spark):
+    rows = spark.createDataFrame(pages(), SCHEMA)
+    assert "Exchange" not in warc._store(rows, "page_id", "url", "html", 500)._jdf.queryExecution().toString()
+    archives = warc.write_archives(rows)
+    found = warc.read_records(archives.headers.unionByName(archives.payloads))
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    crossing = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert crossing and not any("data#" in x for x in crossing)
+
+
+def test_copies_in_a_task_are_stored_once_and_split_records_are_read(spark):
+    big = "".join(map(str, range(500000)))  # over HOLD
+    rows = [(i, "u", "x" * 5000, 0) for i in range(50)] + [(60, "u", big, 0), (61, "u", big, 0), (49, "u", "x" * 5000, 0)]
+    archives = warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    assert archives.payloads.where("length(data) = 5000").count() == 2  # the repeated largest id has a record of its own
+    everything = archives.headers.unionByName(archives.payloads)
+    shuffled = everything.repartition(7)  # chunks of a record in many tasks, in any order
+    for chunks in (everything, shuffled, warc.compact(archives)):
+        got = warc.read_records(chunks).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+        assert sorted(map(tuple, got), key=str) == plain(rows)
+    lost = everything.where("chunk <> 3")
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_records(lost).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, htmltext, langid, linededup, packing, quality, simhash, toxicity, warc
-from .runtime import cut, table
+from .runtime import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of every page, read back from the archives written."""
-    archives = cut(warc.to_chunks(table(spark, sf_dir, "pages")), "warc-archives")
-    return warc.read_records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(archives.headers.unionByName(archives.payloads)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def tokenizer_file() -> str:
