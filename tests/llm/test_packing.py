@@ -27,6 +27,12 @@ def test_special_string_and_probe():
         assert packing.encoder(CONTENT)(text).tolist() == SLOW.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("sign", [" ", "\n", "\t", "x"])
+def test_very_long_runs(sign):
+    text = "a" + sign * 5_000_000 + "b" + (sign + "c") * 10
+    assert packing.encoder(CONTENT)(text).tolist() == SLOW.encode(text, add_special_tokens=False).ids
+
+
 def test_cuts_cost_the_least():
     r = random.Random(4)
     for _ in range(300):
@@ -47,7 +53,7 @@ def texts():
     r = random.Random(8)
     words = ["alpha", "béta", "gamma.", "delta", "x!", "\n", "12"]
     out = [(i, " ".join(r.choices(words, k=r.choice([0, 1, 5, 50, 400])))) for i in range(60)]
-    return out + [(60, None), (61, ""), (None, "one two"), (62, "long" * 3000), (5, out[5][1]), (63, "no sentence end here " * 900)]
+    return out + [(60, None), (61, ""), (None, "one two"), (62, "long" * 3000), (5, out[5][1]), (63, "no sentence end here " * 900), (64, "a" + " " * 1_500_000 + "b")]
 
 
 @pytest.mark.parametrize("block", [1 << 20, 3000])

@@ -26,7 +26,7 @@ def tables():
         text = "\n".join(say(lang, r.randrange(4, 30)) + "." for _ in range(r.randrange(1, 9)))
         text += r.choice(["", "", "\n" + shared, "\n" + r.choice(items)[1]])
         docs.append((i, text, lang))
-    docs += [(200, None, "aa"), (201, "", None), (202, "123 !!", "bb"), (203, "qqxz zxqj vvkx " * 30, None), (204, docs[3][1], "aa"), (205, docs[3][1] + " the", "aa"), (0, docs[0][1], docs[0][2])]
+    docs += [(200, None, "aa"), (201, "", None), (202, "123 !!", "bb"), (203, "qqxz zxqj vvkx " * 30, None), (204, docs[3][1], "aa"), (205, docs[3][1] + " the", "aa"), (206, docs[5][1] + " " * 1_200_000 + docs[6][1], docs[5][2]), (0, docs[0][1], docs[0][2])]
     return docs, items
 
 

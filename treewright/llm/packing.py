@@ -14,7 +14,8 @@ times 2**33 plus its place, so a repeated task gives the same rows.
 Ids: byte-level BPE as the tokenizer file defines it. tiktoken applies the
 file's own vocabulary in merge order, several times faster than the tokenizers
 library; both are compared on PROBE when a worker starts, and a file for which
-they differ is encoded by tokenizers itself.
+they differ is encoded by tokenizers itself, as is a text that tiktoken refuses
+(runs of white space of about a million characters).
 
 Defined results: a null text counts as empty and an empty text is its end id
 alone; repeated rows and null ids are documents of their own; an empty table
@@ -90,11 +91,17 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None:
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self._slow(text)
         coder = self.fast if re.search(r"\s\s", text) else self.single
-        if any(s in text for s in self.special):
-            return np.array(coder.encode(text, allowed_special="all"), np.uint32)
-        return np.frombuffer(coder._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32)
+        try:
+            if any(s in text for s in self.special):
+                return np.array(coder.encode(text, allowed_special="all"), np.uint32)
+            return np.frombuffer(coder._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32)
+        except ValueError:  # a run of about a million white-space characters is beyond its regular expressions
+            return self._slow(text)
+
+    def _slow(self, text: str) -> np.ndarray:
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encoder(content: str) -> Encoder:
