@@ -1,14 +1,15 @@
 """Quality by weak supervision: rules vote or abstain, EM weighs them.
 
 All of it is DataFrame functions. Each rule reads a text's metrics and votes 1
-(good), -1 (bad) or 0 (abstains). The counts of vote patterns, at most 3 to the
-number of rules, are all that EM needs: it alternates the posteriors of each
-pattern and the rules' rates of each vote. Bad documents differ in kind, so there
-is a class for good ones and one for each defect that a rule of its own looks
-for. EM starts from rules that seldom vote against good documents; PRIOR is the
-weight of that start beside the corpus. A defect's rule stays within FALSE_ALARMS
-and FOUND, or a frequent defect would pass for a kind of good document. A
-document's quality is the posterior of the good class.
+(good), -1 (bad) or 0 (abstains, which says nothing). Documents are good or bad, and
+a rule votes -1 with a rate of its own on either kind. EM estimates these rates and
+the share of good documents from the counts of vote patterns alone, at most 3 to the
+number of rules: it alternates the posteriors of each pattern and the rates. All
+rules start alike, as one document's worth of evidence, and nothing bounds them; so
+a rule that is alone in voting against documents comes to count for little, and
+rules that agree come to decide, whatever their number. A document's quality is its
+posterior of being good. Documents that fail the base rules are decided already, so
+EM learns from the others.
 
 Repeated word windows are found by sorting 64-bit hashes of five word hashes
 inside each text, so nothing is exploded or shuffled.
@@ -27,30 +28,28 @@ from pyspark.sql import functions as F
 
 from .runtime import cut
 
-ROUNDS = 25
-#: Where EM starts: the share of good documents, and the part of a rule's votes that
-#: is -1 on good documents, on those with the defect it looks for, and on others.
+#: Rounds of EM at most, and the change of a rate that ends it.
+ROUNDS = 200
+SETTLED = 1e-6
+#: Where EM starts: the share of good documents, and the part of any rule's votes that is -1 on good and on bad ones.
 SHARE = 0.8
-ON_GOOD = 0.01
-ON_DEFECT = 0.95
-ON_OTHER = 0.1
-PRIOR = 0.02
-#: Bounds of a defect's rule: its votes against good documents, and against those with the defect.
-FALSE_ALARMS = 0.005
-FOUND = 0.8
+ON_GOOD = 0.05
+ON_BAD = 0.5
 KEEP = 0.5
 WINDOW = 5
 #: Words in which distinct ones are counted: a longer text has several such parts, the last of them up to its end.
 PART = 2000
 SYMBOLS = "#*$%&|<>"
 SPACE = "[\\x20\\x09-\\x0D]"
+#: A word of letters and digits, joined by at most single signs, in quotes, brackets and with a sentence's signs at its end.
+SHAPED = "(?<![^\\x20\\x09-\\x0D])[\"'(\\[«„“”‘¿¡]*+[\\p{L}\\p{N}]++(?:['’.,:/@-][\\p{L}\\p{N}]++)*+[.,;:!?…]?+[\"')\\]»”’]*+[.,;:!?]?+(?![^\\x20\\x09-\\x0D])"
 UPPER = "".join(map(chr, [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def metrics(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """The columns in keep, METRICS, and those that only the rules read: n_lines, n_ended, n_upper, n_kinds, n_kind_words.
+    """The columns in keep, METRICS, and those that only the rules read: n_lines, n_ended, n_upper, n_letters, n_shaped, n_kinds, n_kind_words.
 
     n_kinds adds up the distinct words of each part of PART words, n_kind_words the words of the parts.
     """
@@ -75,66 +74,66 @@ def metrics(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
         F.size("_l").alias("n_lines"),
         F.size(F.filter("_l", lambda x: x.rlike("[.!?…][\"'”»)\\]]*[\\x20\\x09-\\x0D]*$"))).alias("n_ended"),
         (F.length("_t") - without(UPPER)).alias("n_upper"),
+        F.length(F.regexp_replace("_t", "\\P{L}+", "")).alias("n_letters"),
+        F.regexp_count("_t", F.lit(SHAPED)).alias("n_shaped"),
         F.aggregate(kinds, F.lit(0), lambda a, x: a + x).alias("n_kinds"),
         (F.size(parts) * F.least(F.size("_w"), F.lit(PART))).alias("n_kind_words"),
     )
 
 
-#: Name, condition for a vote of -1, condition for a vote of 1, in SQL over the metrics; whether it looks for a defect of its own.
+#: Name, condition for a vote of -1, condition for a vote of 1, in SQL over the metrics.
 RULES = [
-    ("length", "n_words < 10", "n_words >= 50", False),
-    ("word_length", "word_chars < 2.5 * n_words or word_chars > 14 * n_words", "word_chars between 3.5 * n_words and 9 * n_words", False),
-    ("symbols", "10 * n_symbols > n_words", "n_symbols = 0", True),
-    ("dup_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0", True),
-    ("repeats", "10 * n_repeat_words > n_words", "50 * n_repeat_words <= n_words", False),
-    ("kinds", "5 * n_kinds < n_kind_words", "3 * n_kinds > n_kind_words", True),
-    ("upper", "10 * n_upper > 5 * word_chars", "10 * n_upper < 2 * word_chars", True),
-    ("ended", "10 * n_ended < n_lines", "2 * n_ended >= n_lines", False),
+    ("length", "n_words < 10", "n_words >= 50"),
+    ("word_length", "word_chars < 2.5 * n_words or word_chars > 14 * n_words", "word_chars between 3.5 * n_words and 9 * n_words"),
+    ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    ("dup_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0"),
+    ("repeats", "10 * n_repeat_words > n_words", "50 * n_repeat_words <= n_words"),
+    ("kinds", "5 * n_kinds < n_kind_words", "3 * n_kinds > n_kind_words"),
+    ("upper", "10 * n_upper > 5 * word_chars", "10 * n_upper < 2 * word_chars"),
+    ("ended", "10 * n_ended < n_lines", "2 * n_ended >= n_lines"),
+    ("letters", "100 * n_letters < 85 * word_chars", "100 * n_letters >= 94 * word_chars"),
+    ("shapes", "100 * n_shaped < 70 * n_words", "100 * n_shaped >= 92 * n_words"),
 ]
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
 def votes() -> list[Column]:
-    return [F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end").alias(f"v_{name}") for name, bad, good, _ in RULES]
+    return [F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end").alias(f"v_{name}") for name, bad, good in RULES]
 
 
-def _start(defect: str | None) -> list[float]:
-    return [ON_DEFECT if name == defect else ON_GOOD if defect is None or not anchors else ON_OTHER for name, _, _, anchors in RULES]
-
-
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> list[tuple[float, list[float]]]:
-    """Share, and the part of each rule's votes that is -1, for the good class and each defect's, by EM over pattern counts."""
-    classes = [None, *[name for name, _, _, anchors in RULES if anchors]]
-    weight = max(1.0, PRIOR * sum(n for _, n in patterns))
-    shares = [SHARE, *[(1 - SHARE) / (len(classes) - 1)] * (len(classes) - 1)]
-    starts = [_start(c) for c in classes]
-    model = [*zip(shares, starts)]
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
+    """The share of good documents, and the part of each rule's votes that is -1 on good and on bad ones, by EM over pattern counts."""
+    n = len(RULES)
+    model = SHARE, [ON_GOOD] * n, [ON_BAD] * n
     for _ in range(rounds):
-        held = [weight * s for s in shares]
-        against = [[weight * x for x in start] for start in starts]
-        voted = [[weight] * len(RULES) for _ in classes]
-        for vote, n in patterns:
-            for c, q in enumerate(_posteriors(vote, model)):
-                held[c] += n * q
+        held = [SHARE, 1 - SHARE]
+        against, voted = [[ON_GOOD] * n, [ON_BAD] * n], [[1.0] * n, [1.0] * n]
+        for vote, count in patterns:
+            good = posterior(vote, model)
+            for kind, part in enumerate((good * count, (1 - good) * count)):
+                held[kind] += part
                 for j, v in enumerate(vote):
                     if v:
-                        voted[c][j] += n * q
-                        against[c][j] += n * q * (v < 0)
-        model = [(h / sum(held), [_bounded(a / v, c, rule) for a, v, rule in zip(no, votes_, RULES)]) for h, no, votes_, c in zip(held, against, voted, classes)]
+                        voted[kind][j] += part
+                        against[kind][j] += part * (v < 0)
+        rates = [[a / v for a, v in zip(*kind)] for kind in zip(against, voted)]
+        change = max(abs(x - y) for old, new in zip(model[1:], rates) for x, y in zip(old, new))
+        model = held[0] / sum(held), *rates
+        if change < SETTLED:
+            break
     return model
 
 
-def _bounded(rate: float, defect: str | None, rule: tuple) -> float:
-    """rate, at most FALSE_ALARMS for good documents and at least FOUND for the rule's own defect."""
-    name, _, _, anchors = rule
-    return min(rate, FALSE_ALARMS) if anchors and defect is None else max(rate, FOUND) if name == defect else rate
+def _weights(model) -> tuple[float, list[tuple[float, float]]]:
+    """Log odds of being good: without votes, and what each rule's -1 and 1 add."""
+    share, good, bad = model
+    return math.log(share / (1 - share)), [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in zip(good, bad)]
 
 
-def _posteriors(vote: tuple[int, ...], model) -> list[float]:
-    logs = [math.log(share) + sum(math.log(r if v < 0 else 1 - r) for v, r in zip(vote, rates) if v) for share, rates in model]
-    top = max(logs)
-    parts = [math.exp(x - top) for x in logs]
-    return [x / sum(parts) for x in parts]
+def posterior(vote: tuple[int, ...], model) -> float:
+    first, weights = _weights(model)
+    odds = first + sum(against if v < 0 else agreed for v, (against, agreed) in zip(vote, weights) if v)
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
 def assess(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -143,18 +142,14 @@ def assess(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     inner = {f"_k{k}": c for k, c in enumerate(keep)}
     named = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in inner.items()], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    measured = cut(metrics(named, F.col("_text"), [*inner]).select(*inner, *METRICS, *votes()), "quality-votes")
-    names = [f"v_{name}" for name, _, _, _ in RULES]
-    counted = measured.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(RULES) rows
-    model = estimate(sorted((tuple(r[v] for v in names), r["n"]) for r in counted))
-    logs = []
-    for share, rates in model:
-        log = F.lit(math.log(share))
-        for name, rate in zip(names, rates):
-            log = log + F.when(F.col(name) > 0, math.log(1 - rate)).when(F.col(name) < 0, math.log(rate)).otherwise(0.0)
-        logs.append(log)
-    measured = measured.withColumns({f"_c{k}": x for k, x in enumerate(logs)})
-    odds = sum((F.exp(F.col(f"_c{k}") - F.col("_c0")) for k in range(1, len(logs))), F.lit(1.0))
-    out = measured.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("probability", 1 / odds)
+    measured = metrics(named, F.col("_text"), [*inner]).select(*inner, *METRICS, F.expr(BASE_FAILED).alias("base_failed"), *votes())
+    measured = cut(measured, "quality-votes")
+    names = [f"v_{name}" for name, _, _ in RULES]
+    counted = measured.where("not base_failed").groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(RULES) rows
+    first, weights = _weights(estimate(sorted((tuple(r[v] for v in names), r["n"]) for r in counted)))
+    odds = F.lit(first)
+    for name, (against, agreed) in zip(names, weights):
+        odds = odds + F.when(F.col(name) > 0, agreed).when(F.col(name) < 0, against).otherwise(0.0)
+    out = measured.withColumn("probability", 1 / (1 + F.exp(-odds)))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= KEEP))
     return out.select(*[F.col(k).alias(c) for k, c in inner.items()], *METRICS, "base_failed", "probability", "kept")
