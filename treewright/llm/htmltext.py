@@ -1,14 +1,17 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page is read once into flat blocks, the text between block-level tags. A block
-knows its words and link density, those of its two neighbours, whether an
-article element or a boilerplate element (by tag, role, class, id or hiding)
-surrounds it, whether it is a heading, and whether it closes a sentence. A CART
-tree (Gini impurity, grown from TRAINING when first used) keeps or drops it.
+knows its words and link density and those of its two neighbours, whether it is a
+heading, and whether it closes a sentence. A CART tree (Gini impurity, grown from
+TRAINING when first used) keeps or drops it. Link density decides first. Words and
+densities can't tell an advert's sentence from an article's, so further down the tree
+also asks whether an article element or a boilerplate element (by tag, role, class,
+id or hiding) surrounds the block; pages without such marks go by words and links.
 
 Inside a block all white space, line breaks included, becomes one space, after
 character references are decoded. Scripts, styles, comments, markup and form
-controls never become text; a script that doesn't end hides the rest.
+controls never become text; a script, style, textarea or title that doesn't end
+hides the rest, another such element only what its enclosing block still holds.
 
 Defined results: null and empty pages, and pages without a kept block, give an
 empty text; broken and cut markup is read as far as it goes; plain text without
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,10 +34,14 @@ from pyspark.sql import types as T
 from .runtime import bounded_batches, free_name
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|</?[a-zA-Z!][^<]*+\Z|[^<]++|<""", re.DOTALL)
+#: What follows a page's last ">": text, stray brackets, and a tag that is cut off.
+_REST = re.compile(r"<!--.*\Z|</?[a-zA-Z!][^<]*+\Z|[^<]++|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^a-zA-Z]+")
 
-RAW = frozenset("script style textarea title noscript template iframe object svg math select button canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select button".split())
+#: Those whose text runs to the page's end if they aren't closed.
+ENDLESS = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -154,6 +162,53 @@ TRAINING = """
 4 0 6 0 3 100 0 0 1 0 0
 3 0 3 0 2 0 0 0 1 0 0
 2 0 0 0 3 100 0 0 0 0 0
+1 100 0 0 1 100 0 0 0 0 0
+1 100 1 100 2 100 0 0 0 0 0
+2 100 1 100 1 100 0 0 0 0 0
+3 100 2 100 4 100 0 0 0 0 0
+1 100 2 100 9 0 0 0 0 0 0
+2 100 3 100 7 0 0 0 1 0 0
+4 100 60 0 5 100 0 0 0 0 0
+5 100 4 100 6 100 0 0 0 0 0
+6 100 120 0 7 100 0 0 0 0 0
+7 100 5 100 0 0 0 0 0 0 0
+8 100 9 100 8 100 0 0 0 0 0
+9 100 40 0 11 100 0 0 0 1 0
+11 100 8 100 9 100 0 0 1 0 0
+12 92 9 100 14 86 0 0 0 0 0
+14 86 12 90 11 100 0 0 0 1 0
+16 75 9 100 3 100 0 0 0 0 0
+10 80 70 0 10 80 0 0 0 0 0
+10 70 10 80 10 80 0 0 0 0 0
+5 60 5 60 5 60 0 0 0 0 0
+8 75 1 100 2 100 0 0 0 0 0
+18 66 2 100 2 100 0 0 0 1 0
+25 64 3 100 20 70 0 0 0 1 0
+3 66 90 0 4 75 0 0 0 0 0
+2 100 150 0 0 0 0 0 0 0 0
+4 100 80 0 0 0 0 0 0 0 0
+1 100 50 0 1 100 0 0 0 0 0
+1 100 1 100 1 100 0 0 0 1 0
+2 100 2 100 12 0 0 0 1 0 0
+3 100 0 0 3 100 0 0 0 0 0
+6 83 6 83 6 83 0 0 0 0 0
+4 0 2 100 0 0 0 0 0 0 0
+7 0 1 100 0 0 0 0 0 0 0
+9 11 3 100 0 0 0 0 0 1 0
+3 0 4 100 4 100 0 0 0 0 0
+2 0 5 100 6 100 0 0 1 0 0
+5 20 6 100 7 100 0 0 0 0 0
+6 0 3 100 3 100 0 0 0 1 0
+14 0 7 0 55 0 0 0 0 1 1
+35 8 60 0 2 100 0 0 0 1 1
+28 0 1 100 40 0 0 0 0 1 1
+45 4 1 100 60 10 0 0 0 1 1
+8 0 1 100 45 0 0 0 1 0 1
+6 0 2 100 70 0 0 0 1 0 1
+10 0 8 0 60 0 0 0 0 1 1
+20 25 30 0 30 0 0 0 0 1 1
+33 45 50 0 20 0 0 0 0 1 1
+4 0 90 0 110 0 0 0 1 0 1
 """
 
 
@@ -218,6 +273,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     parts: list[str] = []
     linked: list[str] = []
     anchors = 0
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
 
     def close():
         nonlocal parts, linked
@@ -227,11 +284,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 out.append((" ".join(words), len(words), min(len(words), len(html.unescape(" ".join(linked)).split())), article, boiler, heading))
             parts, linked = [], []
 
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
     while at < size:
-        m = _TOKEN.match(page, at)
+        m = _TOKEN.match(page, at) if at <= last else _REST.match(page, at)
+        name = m[2] if at <= last else None
         at = m.end()
-        name = m[2]
         if name is None:
             if page[m.start()] != "<" or m.end() == m.start() + 1:
                 parts.append(m[0])
@@ -243,16 +300,21 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if tag == "a":
                 anchors = max(0, anchors - 1)
                 continue
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] != tag:
-                k -= 1
-            if tag in BLOCK:
+            if opened[tag]:  # what is looked through here is left, so all of it takes linear time
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                outside = stack[k - 1][1:] if k else (False, False)
+                if tag in BLOCK or outside != (article, boiler):
+                    close()
+                for x in stack[k:]:
+                    opened[x[0]] -= 1
+                del stack[k:]
+                article, boiler = outside
+            elif tag in BLOCK:
                 close()
-            elif tag in ("td", "th"):
+            if tag in ("td", "th"):
                 parts.append(" ")
-            if k >= 0:
-                del stack[k:]
-                article, boiler = stack[-1][1:] if stack else (False, False)
             if tag in HEADINGS:
                 heading = False
             if tag in BLOCK:
@@ -260,8 +322,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else size
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+                if end or tag in ENDLESS:
+                    at = end.end() if end else size
+                else:
+                    unclosed.add(tag)
+                    close()
+                    article, boiler = False, True
+                    stack.append((tag, article, boiler))
+                    opened[tag] += 1
             parts.append(" ")
             continue
         if tag == "a":
@@ -270,7 +339,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             close()
             anchors = 0
             while stack and (stack[-1][0] == "p" or stack[-1][0] == tag == "li"):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             article, boiler = stack[-1][1:] if stack else (False, False)
             heading = tag in HEADINGS
         elif tag in ("br", "td", "th"):
@@ -282,6 +351,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if inside != (article, boiler) or tag in BLOCK:
                 article, boiler = inside
                 stack.append((tag, article, boiler))
+                opened[tag] += 1
     close()
     return out
 
