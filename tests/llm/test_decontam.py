@@ -82,3 +82,26 @@ def test_query_digest(spark, tmp_path):
     spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((tuple(x) for x in op3_decontam(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted(((d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0) for d, n, h, _, i in plain(docs, items)), key=str)
+
+
+def test_clashing_names(spark):
+    docs, items = tables()
+    right = spark.createDataFrame(items, "item_id int, text string")
+    left = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in docs], "doc_id long, text string, hits int, _hits_ int, _found int")
+    found = decontam.find_hits(left, right)
+    assert found.columns == ["doc_id", "text", "_hits_", "_found", "hits"]
+    assert found.select("hits.n_hit", "_hits_").where("_hits_ = 2").count() == len(docs)
+    other = decontam.find_hits(left, right, hits_col="_hits_")
+    assert other.columns == ["doc_id", "text", "hits", "_found", "_hits_"] and other.select("_hits_.n_hit").count() == len(docs)
+    kept = decontam.decontaminate(left, right)
+    assert kept.columns == left.columns and {(x.hits, x._hits_, x._found) for x in kept.collect()} == {(1, 2, 3)}
+
+
+def test_very_long_text(spark):
+    words = [f"w{k % 9973}" for k in range(400000)]
+    left = spark.createDataFrame([(1, " ".join(words)), (2, "w1 " * 300000)], "doc_id long, text string")
+    right = spark.createDataFrame([(5, " ".join(words[20000:20030])), (6, "w1 " * 12)], "item_id int, text string")
+    got = {x.doc_id: x for x in decontam.find_hits(left, right).select("doc_id", "hits.n_words", "hits.n_hit", "hits.items").collect()}
+    places = sum(words[p] == words[20000] for p in range(len(words)))
+    assert got[1].n_words == 400000 and got[1]["items"] == ["5"] and got[1].n_hit in (30 * places, 30 * places - 29)
+    assert got[2].n_hit == 300000 and got[2]["items"] == ["6"]

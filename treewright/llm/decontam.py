@@ -10,14 +10,18 @@ binary-searched there; the range found gives all its verbatim places. A place is
 then extended word by word through the benchmark's own suffix array, which gives
 the longest verbatim match that starts there.
 
-The benchmark goes to the tasks in blocks of BLOCK_BYTES of text; documents pass
-the blocks one after the other without a shuffle, so neither side must be small
-and no window or match is left out.
+The benchmark goes to the tasks in blocks of BLOCK_BYTES of text, so that what is
+broadcast is bounded; documents pass the blocks one after the other without a
+shuffle, and no window or match is left out. Most benchmarks are one block and one
+pass. With more, each pass is written to the shared folder and its block is dropped
+before the next is made, so driver and executors hold one block at a time whatever
+the benchmark's size; the price is a pass over the documents for each block.
 
 Defined results: a null or wordless text has no words and no hits; an item
 without words matches nothing; an item of fewer words than a window is one
 window; repeated items count once by id, null item ids match but aren't listed;
-repeated documents are judged row by row; empty tables give no hits or no rows.
+repeated documents are judged row by row; empty tables give no hits or no rows; a
+kept column named like hits_col, whatever the case, is replaced by it.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import bounded_batches, byte_list, free_name
+from .runtime import byte_list, cut, drop, free_name
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
@@ -237,18 +241,29 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", hits_col: str = "hits", keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs' columns (or those in keep) and hits_col: n_words, n_hit, the longest verbatim match, hit word spans, item ids."""
-    spark, keep = docs.sparkSession, docs.columns if keep is None else keep
-    own = free_name(docs, "_text")
-    out, first = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(own)), True
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        if first or any(words_of(t) for _, t in items):
-            out, first = _pass(spark, out, spark.sparkContext.broadcast(Block(items, window)), len(keep), own), False
-    return out.drop(own).withColumnRenamed("_hits_", hits_col)
-
-
-def _pass(spark, rows: DataFrame, block, n_keep: int, own: str) -> DataFrame:
+    spark = docs.sparkSession
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != hits_col.lower()]
+    inner = [f"k{k}" for k in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    blocks = (items for items in _blocks(benchmark, item_col, item_text_col, block_bytes) if any(words_of(t) for _, t in items))
+    items, written = next(blocks, []), []
+    while items is not None:
+        shared, later = spark.sparkContext.broadcast(Block(items, window)), next(blocks, None)
+        rows = _pass(rows, shared, len(keep))
+        if later is not None:
+            rows = cut(rows, "decontam-pass")
+            shared.destroy()
+            for old in written:
+                drop(old)
+            written = [rows]
+        items = later
+    return rows.select(*[F.col(k).alias(c) for k, c in zip(inner, keep)], F.col("hits").alias(hits_col))
+
+
+def _pass(rows: DataFrame, block, n_keep: int) -> DataFrame:
+    """rows, the last of whose columns are text and perhaps hits, with hits that count this block too."""
     fields = rows.schema.fields[: n_keep + 1]
-    schema = T.StructType([*fields, T.StructField("_hits_", HITS)])
+    schema = T.StructType([*fields, T.StructField("hits", HITS)])
     arrow_hits = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.string()))])
     names = [*schema.names]
 
@@ -270,7 +285,7 @@ def _pass(spark, rows: DataFrame, block, n_keep: int, own: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: n_keep + 1], hits], names)
                 at = to
 
-    return bounded_batches(rows).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:
