@@ -40,6 +40,8 @@ START, MIDDLE, END = b"<|start|>", b"\n", b"<|end|>\n"
 SEGMENT = 4 << 20
 #: Bytes assembled at once.
 AT_ONCE = 8 << 20
+#: Bytes scattered by one array of indices.
+SLICE = 1 << 20
 SCHEMA = "conv_id long, segment long, n_turns long, formatted binary, mask_start array<long>, mask_length array<long>"
 READ_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -79,10 +81,18 @@ def assemble(roles: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.nda
     begin[:, 1] = sum(map(len, fixed)) + np.cumsum(size[:, 1]) - size[:, 1]
     begin[:, 3] = sum(map(len, fixed)) + size[:, 1].sum() + np.cumsum(size[:, 3]) - size[:, 3]
     flat = size.ravel()
+    begin = begin.ravel()
     offset = np.concatenate([[0], np.cumsum(flat)])
-    index = np.arange(offset[-1]) + np.repeat(begin.ravel() - offset[:-1], flat)
     out = np.empty(offset[-1], np.uint8)
-    np.take(source, index, out=out)
+    at = 0
+    while at < len(flat):  # scatter indices take eight times their bytes, so they are made for SLICE bytes at a time
+        to = max(int(np.searchsorted(offset, offset[at] + SLICE, "right")) - 1, at + 1)
+        here = out[offset[at] : offset[to]]
+        if to == at + 1:
+            here[:] = source[begin[at] : begin[at] + flat[at]]
+        else:
+            np.take(source, np.arange(len(here)) + np.repeat(begin[at:to] - offset[at:to] + offset[at], flat[at:to]), out=here)
+        at = to
     return out, offset[::5], offset[3::5]
 
 
