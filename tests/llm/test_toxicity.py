@@ -1,5 +1,8 @@
+import math
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from treewright.llm import toxicity
@@ -67,3 +70,48 @@ def test_hits_equal_plain_search():
         hidden = [s for p in lexicon.exceptions for s in find(p)]
         plain = sorted((a, b, w) for t, w in lexicon.weights.items() for a, b in find(t) if not any(x <= a and b <= y for x, y in hidden))
         assert sorted(lexicon.hits(folded, automaton)) == plain
+
+
+def test_many_hits_in_one_text_take_linear_time():
+    lexicon = toxicity.Lexicon({" ab": 1.0}, {" c ab "})
+    automaton = lexicon.automaton()
+    start = time.time()
+    folded = toxicity.fold("c ab ab " * 200000)
+    assert len(lexicon.hits(folded, automaton)) == 200000
+    assert time.time() - start < 20
+
+
+def test_beginnings_of_any_length():
+    assert toxicity.lengths(2) == [] and toxicity.lengths(5) == [3, 4, 5]
+    assert toxicity.lengths(70) == [*range(3, 17), 32, 64]
+    assert sum(map(len, toxicity.terms_of(toxicity.fold("x" * 1_000_000)))) < 4_000_000
+
+
+def test_weights_curve_and_scores_equal_brute_force(spark):
+    data, labels = rows(400)
+    docs = spark.createDataFrame([*data, (3, "another text of the same id"), (5, data[5][1])], "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), seed=())
+    first = {d: t for d, t in data}
+    same = docs.where("doc_id = 3").select("text", F.xxhash64("text").alias("h")).orderBy("h").first()
+    first[3] = same.text
+    folded = [(toxicity.fold(first[d]), y) for d, y in labels]
+
+    def hits(t):  # every place of every term that no exception covers
+        hidden = [(a, a + len(p)) for p in lexicon.exceptions for a in range(len(t)) if t.startswith(p, a)]
+        return [w for w in lexicon.weights for a in range(len(t)) if t.startswith(w, a) and not any(x <= a and a + len(w) <= y for x, y in hidden)]
+
+    found = [(hits(t), y, len(t.split())) for t, y in folded]
+    pos, neg = sum(y for _, y in labels), sum(not y for _, y in labels)
+    assert {" grobnik ", " zmerko "} <= {w if w.endswith(" ") else w + " " for w in lexicon.weights} or len(lexicon.weights) >= 3
+    for term, weight in lexicon.weights.items():
+        a, b = (sum(term in h for h, y, _ in found if y == side) for side in (1, 0))
+        assert abs(weight - (math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1)))) < 1e-9
+    for phrase in lexicon.exceptions:
+        assert sum(phrase in t for t, y in folded if not y) >= 3 and not any(phrase in t for t, y in folded if y)
+    x = np.array([[1, math.log1p(100 * sum(lexicon.weights[k] for k in h) / n) if h else 0, math.log1p(len(h))] for h, _, n in found])
+    y = np.array([y for _, y, _ in found])
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ np.array(lexicon.curve)))) - np.array([0.01, 0.05, 0.05]) * np.array(lexicon.curve)
+    assert np.abs(slope).max() < 1e-4  # the penalised likelihood is at its top
+    got = {r.doc_id: r.score for r in toxicity.score(docs.where("doc_id not in (3, 5)"), lexicon).collect()}
+    for (d, _), row in zip(labels, x):
+        assert d in (3, 5) or abs(got[d] - 1 / (1 + math.exp(-row @ np.array(lexicon.curve)))) < 1e-9

@@ -9,8 +9,9 @@ phrases, whose span hides the terms inside. The evidence of a text is the sum of
 its hits' weights over its number of words, and a logistic curve turns evidence
 and hits into a score.
 
-fit() learns from at most FIT_ROWS labelled rows, chosen by a hash of their ids:
-terms whose document frequency in toxic rows is far above that in clean rows are
+fit() learns from at most FIT_ROWS labelled rows, chosen by a hash of their ids and
+written once; that bounds all that comes to the driver, and nothing else is cut.
+Terms whose document frequency in toxic rows is far above that in clean rows are
 candidates; they are taken greedily, each toxic row counting half as much for
 every term that already covers it, so that chance words of copied rows add
 nothing. Phrases of a term and a neighbour that occur in clean rows alone become
@@ -18,7 +19,8 @@ exceptions. SEED words are in the lexicon unless the rows speak against them.
 
 Defined results: null, empty and wordless texts have no hits and get the score
 of none; rows without a label or with a null id teach nothing, several labels of
-one id count as toxic if one is; without labels the curve is a fixed prior;
+one id count as toxic if one is, and of several documents of one id the first by a
+hash of the text teaches; without labels the curve is a fixed prior;
 repeated rows are scored alike; no rows give no rows.
 """
 
@@ -35,12 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import bounded_batches, fold_of, free_name
+from .runtime import cut, drop, fold_of, free_name
 
 FIT_ROWS = 20_000
-#: Candidates looked at and terms taken at most; both bound what is sent to the tasks.
-MAX_CANDIDATES = 20_000
-MAX_TERMS = 2_000
 MIN_LOG_ODDS = 2.5
 THRESHOLD = 0.7
 #: What a word's beginning is worth beside the whole word with the same rows.
@@ -56,7 +55,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 
 _LETTERS = str.maketrans(dict(zip(*HOMOGLYPHS)) | {"l": "i"} | dict.fromkeys(INVISIBLE))
 _SIGNS = str.maketrans(*STAND_INS)
-_MIXED = re.compile(r"[^\W_]*(?:\d|[@$!|](?=[^\W\d_]))[\w@$!|]*")
+_MIXED = re.compile(r"(?<![^\W_])[^\W\d_]*+(?:\d|[@$!|](?=[^\W\d_]))[\w@$!|]*")
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -102,9 +101,17 @@ class Lexicon:
         found, hidden = [], []
         for last, (n, weight) in automaton.iter(folded):
             (hidden if weight is None else found).append((last + 1 - n, last + 1, weight))
-        if hidden:
+        if hidden and found:
+            found.sort()
             hidden.sort()
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in hidden)]
+            out, reach, k = [], -1, 0  # reach: where the hidden spans that have begun end at the latest
+            for hit in found:
+                while k < len(hidden) and hidden[k][0] <= hit[0]:
+                    reach = max(reach, hidden[k][1])
+                    k += 1
+                if hit[1] > reach:
+                    out.append(hit)
+            return out
         return found
 
     def features(self, folded: str, automaton) -> tuple[float, float]:
@@ -121,12 +128,17 @@ class Lexicon:
         return out
 
 
+def lengths(size: int) -> list[int]:
+    """Those of a word's beginnings: all from 3 to 16 letters, then powers of two, so that they take linear space."""
+    return [*range(3, min(size, 16) + 1), *(1 << k for k in range(5, size.bit_length()))]
+
+
 def terms_of(folded: str) -> set[str]:
-    """Every beginning of at least three letters of every word, and the words."""
+    """The beginnings of every word, and the words."""
     out = set()
     for word in set(folded.split()):
         out.add(f" {word} ")
-        out.update(" " + word[:n] for n in range(3, min(len(word), 14) + 1))
+        out.update(" " + word[:n] for n in lengths(len(word)))
     return out
 
 
@@ -148,12 +160,52 @@ def _candidates(rows: DataFrame) -> list[tuple[str, int, int]]:
     counted = rows.select("text", "toxic").mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / F.lit(pos + 1)) - F.log((F.col("neg") + 0.5) / F.lit(neg + 1))
     least = max(3, pos // 200)
-    found = counted.where((F.col("pos") >= least) & (odds >= MIN_LOG_ODDS)).orderBy(F.desc("pos"), F.length("term"), "term").limit(MAX_CANDIDATES)
-    return [(x.term, x.pos, x.neg) for x in found.collect()]
+    found = counted.where((F.col("pos") >= least) & (odds >= MIN_LOG_ODDS))
+    return sorted(((x.term, x.pos, x.neg) for x in found.collect()), key=lambda x: (-x[1], len(x[0]), x[0]))
+
+
+def _phrases(folded: str, hits) -> set[str]:
+    """The words around each hit: it and the word before, it and the word after."""
+    around = set()
+    for a, z, _ in hits:
+        end = folded.index(" ", max(z - 1, a + 1))
+        before, after = folded.rfind(" ", 0, a), folded.find(" ", end + 1)
+        if before >= 0:
+            around.add(folded[before : end + 1])
+        if after > 0:
+            around.add(folded[a : after + 1])
+    return around
+
+
+def _clean_phrases(rows: DataFrame, terms: list[str]) -> set[str]:
+    """Phrases around the terms that are in three clean rows or more and in no toxic one."""
+    lexicon = Lexicon(dict.fromkeys(terms, 1.0))
+
+    def run(batches):
+        automaton = lexicon.automaton()
+        for b in batches:
+            bad, good = Counter(), Counter()
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folded = fold(text)
+                (bad if label else good).update(_phrases(folded, lexicon.hits(folded, automaton)))
+            names = list(bad | good)
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([bad[x] for x in part], pa.int64()), pa.array([good[x] for x in part], pa.int64())], ["phrase", "bad", "good"])
+
+    counted = rows.select("text", "toxic").mapInArrow(run, "phrase string, bad long, good long").groupBy("phrase").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return {x.phrase for x in counted.where("good >= 3 and bad = 0").select("phrase").collect()}
+
+
+class Seen:
+    """A labelled row: label, words, and how often each term occurs."""
+
+    def __init__(self, toxic: int, words: int, terms: dict[int, int]):
+        self.toxic, self.words, self.terms = toxic, words, terms
 
 
-def _occurrences(rows: DataFrame, terms: list[str], exceptions: set[str] = frozenset()):
-    """Of every labelled row: label, words, the terms' numbers with repeats, and the phrases around them."""
+def _occurrences(rows: DataFrame, terms: list[str], exceptions: set[str] = frozenset()) -> list[Seen]:
+    """Every labelled row, its terms by number; at most one count for each term and row."""
     lexicon = Lexicon(dict.fromkeys(terms, 1.0), exceptions)
     number = {t: k for k, t in enumerate(terms)}
 
@@ -163,19 +215,12 @@ def _occurrences(rows: DataFrame, terms: list[str], exceptions: set[str] = froze
             out = []
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 folded = fold(text)
-                hits = lexicon.hits(folded, automaton)
-                around = set()
-                for a, z, _ in hits:
-                    end = folded.index(" ", max(z - 1, a + 1))
-                    before, after = folded.rfind(" ", 0, a), folded.find(" ", end + 1)
-                    if before >= 0:
-                        around.add(folded[before : end + 1])
-                    if after > 0:
-                        around.add(folded[a : after + 1])
-                out.append({"toxic": label, "words": folded.count(" ") - 1, "terms": [number[folded[a:z]] for a, z, _ in hits], "around": sorted(around)})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("toxic", pa.int32()), ("words", pa.int64()), ("terms", pa.list_(pa.int32())), ("around", pa.list_(pa.string()))]))
+                counts = Counter(number[folded[a:z]] for a, z, _ in lexicon.hits(folded, automaton))
+                out.append({"toxic": label, "words": folded.count(" ") - 1, "terms": list(counts), "counts": list(counts.values())})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("toxic", pa.int32()), ("words", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]))
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, words long, terms array<int>, around array<string>").collect()
+    found = rows.select("text", "toxic").mapInArrow(run, "toxic int, words long, terms array<int>, counts array<long>").toArrow()
+    return [Seen(x["toxic"], x["words"], dict(zip(x["terms"], x["counts"]))) for x in found.to_pylist()]
 
 
 def _greedy(candidates: list[tuple[str, int, int]], rows) -> list[int]:
@@ -183,9 +228,9 @@ def _greedy(candidates: list[tuple[str, int, int]], rows) -> list[int]:
     holders: dict[int, list[int]] = {}
     toxic = [r for r in rows if r.toxic]
     for d, r in enumerate(toxic):
-        for k in set(r.terms):
+        for k in r.terms:
             holders.setdefault(k, []).append(d)
-    clean = Counter(k for r in rows if not r.toxic for k in set(r.terms))
+    clean = Counter(k for r in rows if not r.toxic for k in r.terms)
     weight = np.ones(len(toxic))
     held = {k: np.array(v) for k, v in holders.items()}
     least = max(1.2, len(toxic) / 400)
@@ -197,9 +242,10 @@ def _greedy(candidates: list[tuple[str, int, int]], rows) -> list[int]:
     heap = [(-worth(k), -len(candidates[k][0]), candidates[k][0], k) for k in held]
     heapq.heapify(heap)
     names: set[str] = set()
-    while heap and len(taken) < MAX_TERMS:
+    begun: set[str] = set()  # all beginnings of names
+    while heap:
         gain, length, term, k = heapq.heappop(heap)
-        if any(term.startswith(t) for t in names if t[:4] == term[:4]) or any(t.startswith(term) for t in names if t[:4] == term[:4]):
+        if term in begun or any(term[:n] in names for n in range(1, len(term))):
             continue
         fresh = worth(k)
         if fresh < -gain - 1e-9:
@@ -209,6 +255,7 @@ def _greedy(candidates: list[tuple[str, int, int]], rows) -> list[int]:
             break
         taken.append(k)
         names.add(term)
+        begun.update(term[:n] for n in range(1, len(term) + 1))
         weight[held[k]] /= 2
     return taken
 
@@ -231,34 +278,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A lexicon learned from at most fit_rows labelled rows."""
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     one = one.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(one), "id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(one), "id")
+    rows = rows.groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = cut(rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxicity-sample")
     seeds = [f" {fold(w).strip()} " for w in seed]
     candidates = _candidates(rows)
     known = {t for t, _, _ in candidates}
     candidates += [(t, 0, 0) for t in seeds if t not in known]
-    found = _occurrences(rows, [t for t, _, _ in candidates])
+    terms = [t for t, _, _ in candidates]
+    found = _occurrences(rows, terms)
     n_toxic = sum(r.toxic for r in found)
     taken = _greedy(candidates, found)
-    chosen = {candidates[k][0] for k in taken} | set(seeds)
-    bad = Counter(p for r in found if r.toxic for p in r.around)
-    good = Counter(p for r in found if not r.toxic for p in r.around)
-    exceptions = {p for p, n in good.items() if n >= 3 and not bad[p] and any(t.strip() in p for t in chosen)}
+    chosen = {terms[k] for k in taken} | set(seeds)
+    exceptions = {p for p in _clean_phrases(rows, terms) if any(t.strip() in p for t in chosen)}
     if exceptions:  # counted anew, without what they hide
-        found = _occurrences(rows, [t for t, _, _ in candidates], exceptions)
-    toxic, clean = Counter(k for r in found if r.toxic for k in set(r.terms)), Counter(k for r in found if not r.toxic for k in set(r.terms))
+        found = _occurrences(rows, terms, exceptions)
+    drop(rows)
+    toxic, clean = Counter(k for r in found if r.toxic for k in r.terms), Counter(k for r in found if not r.toxic for k in r.terms)
     odds = lambda k: math.log((toxic[k] + 0.5) / (n_toxic + 1)) - math.log((clean[k] + 0.5) / (len(found) - n_toxic + 1))
-    weights = {candidates[k][0]: odds(k) for k in taken}
-    for k, (term, _, _) in enumerate(candidates):
+    weights = {terms[k]: odds(k) for k in taken}
+    for k, term in enumerate(terms):
         if term in seeds and not any(term.startswith(t) for t in weights) and (not clean[k] or odds(k) >= MIN_LOG_ODDS):
             weights[term] = max(MIN_LOG_ODDS, odds(k)) if toxic[k] else MIN_LOG_ODDS
     lexicon = Lexicon(weights, exceptions)
     if 0 < n_toxic < len(found):
-        inside = {k for k, (t, _, _) in enumerate(candidates) if t in weights}
         x = np.zeros((len(found), 2))
         for d, r in enumerate(found):
-            hits = [k for k in r.terms if k in inside]
+            hits = [(k, n) for k, n in r.terms.items() if terms[k] in weights]
             if hits:
-                x[d] = math.log1p(100 * sum(weights[candidates[k][0]] for k in hits) / r.words), math.log1p(len(hits))
+                x[d] = math.log1p(100 * sum(n * weights[terms[k]] for k, n in hits) / r.words), math.log1p(sum(n for _, n in hits))
         lexicon.curve = _curve(x, np.array([r.toxic for r in found], float))
     return lexicon
 
@@ -278,7 +326,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: list[
                 scores = lexicon.scores(part.column(len(keep)).to_pylist(), automaton)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], schema.names)
 
-    return bounded_batches(rows).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
