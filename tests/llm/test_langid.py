@@ -1,6 +1,10 @@
+import math
 import random
+import unicodedata
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from treewright.llm import langid
@@ -18,36 +22,101 @@ def rows(n=240):
     return [(i, text(r, x), x) for i, x in enumerate(langs)]
 
 
-def plain_keys(t):
-    table = langid._classes()
-    marks = [int(table[ord(c)]) for c in t]
+def plain_grams(t):
+    marks = [ord(c.lower()[0]) if unicodedata.category(c)[0] in "LM" else 0 for c in t]
     flat = []
     for m in [*marks, 0]:
         if m or (flat and flat[-1]):
             flat.append(m)
     flat = [0, 0, 0, *flat]
-    return [flat[i] << 18 | flat[i + 1] << 12 | flat[i + 2] << 6 | flat[i + 3] for i in range(len(flat) - 3)] if any(marks) else []
-
-
-def test_keys_equal_the_definition(monkeypatch):
+    return [tuple(flat[i : i + 4]) for i in range(len(flat) - 3)] if any(marks) else []
+
+
+class Plain:
+    """Interpolated Kneser-Ney by its definition, in dictionaries."""
+
+    def __init__(self, texts, symbols):
+        self.symbols = symbols
+        self.counts = {4: Counter(g for t in texts for g in plain_grams(t))}
+        for order in (3, 2, 1):
+            self.counts[order] = Counter(g[1:] for g in self.counts[order + 1])
+        self.discounts, self.contexts = {}, {}
+        for order, counts in self.counts.items():
+            ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+            self.discounts[order] = ones / (ones + 2 * twos) if ones and twos else 0.5
+            self.contexts[order] = {}
+            for g, n in counts.items():
+                total, kinds = self.contexts[order].get(g[:-1], (0, 0))
+                self.contexts[order][g[:-1]] = total + n, kinds + 1
+
+    def p(self, gram):
+        if not gram:
+            return 1 / (self.symbols + 1)
+        total, kinds = self.contexts[len(gram)].get(gram[:-1], (0, 0))
+        lower = self.p(gram[1:])
+        if not total:
+            return lower
+        d, n = self.discounts[len(gram)], self.counts[len(gram)][gram]
+        return max(n - d, 0) / total + d * kinds / total * lower
+
+
+def test_grams_equal_the_definition(monkeypatch):
     r = random.Random(2)
-    texts = ["", "12 !", "a", " Ab  c'd é\n", "日本語 text", "x" * 50] + ["".join(r.choices("ab É1 ", k=r.randrange(30))) for _ in range(60)]
-    expected = [(k, d) for d, t in enumerate(texts) for k in plain_keys(t)]
+    texts = ["", "12 !", "a", " Ab  c'd é\n", "日本語 text", "x" * 50, "кий ії", "e\u0301a"] + ["".join(r.choices("ab É1 я", k=r.randrange(30))) for _ in range(60)]
+    expected = [(g, d) for d, t in enumerate(texts) for g in plain_grams(t)]
     for size in (1 << 20, 7):
         monkeypatch.setattr(langid, "AT_ONCE", size)
-        got = [(k, d) for keys, docs in langid.keys_of([t.encode() for t in texts]) for k, d in zip(keys.tolist(), docs.tolist())]
+        got = []
+        for context, symbol, docs in langid.grams([t.encode() for t in texts]):
+            for c, s, d in zip(context.tolist(), symbol.tolist(), docs.tolist()):
+                got.append(((c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF, s), d))
         assert got == expected
 
 
-def test_probabilities_sum_to_one():
-    r = random.Random(1)
-    keys = np.array(sorted({k for _ in range(9) for k in plain_keys(text(r, "bb"))}))
-    model = langid.Model({"bb": (keys, np.array([float(r.randrange(1, 6)) for _ in keys]))})
-    table = model.lookup()
-    for context in [0, int(keys[0] >> 6), int(keys[-1] >> 6), 12345]:
-        k = context << 6 | np.arange(64)
-        p = np.where(table[k] > 0, model.seen[0][np.maximum(table[k] - 1, 0)], model.gamma[0][context] + model.unseen[0][k & langid._ORDER3])
-        assert abs(np.exp(p.astype(float)).sum() - 1) < 1e-4
+def test_tables_find_what_they_hold():
+    r = np.random.default_rng(4)
+    for size in (0, 1, 2, 1000):
+        hashes = np.unique(r.integers(0, 1 << 64, size, np.uint64))
+        table = langid.Table(hashes, np.arange(len(hashes))[:, None])
+        assert table.find(hashes).tolist() == list(range(len(hashes)))
+        assert set(table.find(r.integers(0, 1 << 64, 50, np.uint64)).tolist()) <= {-1}
+
+
+@pytest.mark.parametrize("shard_bytes", [langid.SHARD_BYTES, 8000])
+def test_entropies_equal_brute_force(spark, shard_bytes):
+    data = [x for x in rows(60)] + [(500, "привіт світе її єдиний", "dd"), (501, "привет мир ещё один этот", "ee")] * 3
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    aside = {x.text for x in docs.where(F.pmod(F.xxhash64("text"), F.lit(langid.CALIBRATION)) == 0).collect()}
+    learned = [x for x in data if x[1] not in aside]
+    names = sorted({x[2] for x in learned})
+    symbols = len({g[3] for _, t, _ in learned for g in plain_grams(t)})
+    models = [Plain([t for _, t, k in learned if k == name], symbols) for name in names]
+    model = langid.fit(docs, shard_bytes=shard_bytes)
+    assert (model.shards > 1) == (shard_bytes < langid.SHARD_BYTES)
+    asked = [*data[:25], (900, "ўвага ієрогліф 漢字 the of", None), (901, "zzz qqq xk", None), (902, None, None), (903, "the " * 2000, None)]
+    got = langid.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()
+    for x in got:
+        found = plain_grams(x.text or "")
+        if not found:
+            assert (x.lang_pred, x.score, x.rejected, x.cross_entropy) == ("und", 0.0, True, None)
+            continue
+        h = [-sum(math.log(m.p(g)) for g in found) / len(found) for m in models]
+        assert abs(x.cross_entropy - min(h)) < 1e-4 and x.lang_pred == names[h.index(min(h))]
+        assert abs(x.score - 1 / sum(math.exp(-(y - min(h)) * min(len(found), langid.FIRM)) for y in h)) < 1e-3
+    for m in models:  # probabilities of all symbols and of one unseen sum to one
+        for context in list(m.contexts[4])[:5] + [(1, 2, 3)]:
+            known = {g[3] for x in models for g in x.counts[4]}
+            assert abs(sum(m.p((*context, s)) for s in known) + m.p((*context, -1)) - 1) < 1e-9
+
+
+def test_letters_of_other_scripts_tell_languages_apart(spark):
+    r = random.Random(13)
+    alphabets = {"ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "zh": "".join(map(chr, range(0x4E00, 0x4E40))), "ja": "".join(map(chr, range(0x3041, 0x3090)))}
+    say = lambda k: " ".join("".join(r.choices(alphabets[k], k=r.randrange(2, 8))) for _ in range(30))
+    data = [(i, say(k), k) for i, k in enumerate(r.choices(list(alphabets), k=160))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.fit(docs.where("doc_id % 4 > 0")))
+    assert got.where("lang_pred = lang and not rejected").count() == 160
 
 
 def test_held_out_accuracy_rejection_and_odd_texts(spark):

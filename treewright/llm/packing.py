@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bounded_batches
+from .runtime import 
 
 WINDOW = 2048
 END = 1
@@ -236,7 +236,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
         yield from _batches(packer.finish())
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return bounded_batches(rows).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:

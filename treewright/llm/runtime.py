@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,7 +25,7 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="treewright-"))
@@ -59,20 +60,19 @@ def drop(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a batch on its way to Python, where the session says nothing smaller; texts of any length must fit.
-BATCH_ROWS = 1000
+#: Bytes of a batch on its way to Python in the registered queries and the pipeline, where the session says nothing else.
+BATCH_BYTES = 4 << 20
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, whose session from now on sends at most BATCH_ROWS rows at once to Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
+def small_batches(spark: SparkSession) -> SparkSession:
+    """spark, whose batches on their way to Python hold about BATCH_BYTES. For programs that own their session; operators leave it alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
 
 
 def byte_list(column: pa.Array) -> list[bytes | None]:
