@@ -34,8 +34,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import 
-
 WINDOW = 2048
 END = 1
 SENTENCE = 16
