@@ -47,6 +47,9 @@ LINE = (
     r"[ \t\r\n]*(?:(?:[^ \t\r\n]+[ \t\r]+){0,%d}?(?:[^ \t\r\n]*[.!?][ \t\r\n]+|[^ \t\r\n]+[ \t\r]*\n[ \t\r\n]*|[^ \t\r\n]+[ \t\r]*\z)|(?:[^ \t\r\n]+[ \t\r]+){%d})|[ \t\r\n]+"
     % (WORDS - 1, WORDS)
 )
+#: The same for Java, whose possessive quantifiers and look-around read every word once: words that don't end a line, and one that does.
+_SPACES, _WORD = r"[ \t\r\n]", r"[^ \t\r\n]"
+JAVA_LINE = rf"{_SPACES}*+(?:{_WORD}++(?<![.!?])[ \t\r]++(?={_WORD})){{0,{WORDS - 1}}}+{_WORD}++{_SPACES}*+|{_SPACES}++"
 #: The rolling hash: a polynomial in BASE modulo PRIME over 28-bit hashes of lines.
 BASE, PRIME = 1009, 1_000_000_007
 
@@ -56,7 +59,7 @@ def _line_hash(line: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(JAVA_LINE), F.lit(0))
 
 
 def _chunk_text(lines: Column, start: Column) -> Column:
@@ -91,9 +94,10 @@ def _starts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("starts", F.when(F.size("lines") > 0, F.filter(places, lambda k: k.isNotNull())))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_hash: Callable[[Column], Column] | None = None) -> DataFrame:
     """docs with text_col without repeated chunks, and n_lines and n_removed, in that order after docs' columns.
 
+    chunk_hash hashes a chunk's text; without it, its lines are hashed as they are, which spares joining them.
     n_lines and n_removed replace columns of docs that have these names.
     """
     key = [F.col(f"doc.`{id_col}`").alias("id"), F.xxhash64(F.col(f"doc.`{text_col}`")).alias("sum")]
@@ -102,7 +106,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Hashes are built before explode, or each exploded row would carry all lines.
     chunks = _starts(rows.select(*key, _lines(text).alias("lines")))
-    hashed = lambda x: F.transform(x["starts"], lambda k: F.struct(k.alias("idx"), chunk_hash(_chunk_text(x["lines"], k)).alias("hash")))
+    hash_of = lambda lines, k: chunk_hash(_chunk_text(lines, k)) if chunk_hash else F.xxhash64(*[F.get(lines, k + j) for j in range(LINES)])
+    hashed = lambda x: F.transform(x["starts"], lambda k: F.struct(k.alias("idx"), hash_of(x["lines"], k).alias("hash")))
     chunks = chunks.select("id", "sum", _with(F.struct("starts", "lines"), hashed).alias("chunks"))
     # inline_outer: the filters that Spark infers for inline repeat the whole expression many times.
     places = cut(chunks.select("id", "sum", F.inline_outer("chunks")).where("hash is not null"), "lines-places")
@@ -115,7 +120,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = found.join(firsts, "hash").select("id", "sum", F.struct("idx", "hash", (order == F.col("first")).alias("first")).alias("place"))
     found = found.groupBy("id", "sum").agg(F.collect_set("place").alias("places"))
     joined = rows.select("doc", *key).alias("a").join(found.alias("b"), F.expr("a.id <=> b.id and a.sum = b.sum"), "left").select("doc", "a.id", "a.sum", "places")
-    joined = cut(joined, "lines-joined")
+    joined = cut(joined, "lines-joined", "zstd")
 
     texts = lambda lines: F.transform("places", lambda p: F.struct(p["idx"].alias("idx"), p["hash"].alias("hash"), _chunk_text(lines, p["idx"]).alias("t")))
     held = joined.where("places is not null").select("id", "sum", F.inline_outer(_with(_lines(text), texts))).where("hash is not null")

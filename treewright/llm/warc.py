@@ -200,7 +200,7 @@ def _store(pages: DataFrame, id_col: str, url_col: str, payload_col: str, chunk:
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK) -> Archives:
     """One record per row of pages, written to the shared folder."""
-    stored = cut(_store(pages, id_col, url_col, payload_col, chunk), "warc-payloads")
+    stored = cut(_store(pages, id_col, url_col, payload_col, chunk), "warc-payloads", "zstd")
     facts = stored.where("chunk = 0").select("archive", "record_id", F.col("sha1").alias("digest"), *[x.split()[0] for x in FACTS.split(", ")])
     same = ["size", "digest", "more"]
     first = facts.where(F.col("size") >= MIN_REVISIT).groupBy(*same).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
