@@ -110,17 +110,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = lambda x: F.transform(x["starts"], lambda k: F.struct(k.alias("idx"), hash_of(x["lines"], k).alias("hash")))
     chunks = chunks.select("id", "sum", _with(F.struct("starts", "lines"), hashed).alias("chunks"))
     # inline_outer: the filters that Spark infers for inline repeat the whole expression many times.
-    places = cut(chunks.select("id", "sum", F.inline_outer("chunks")).where("hash is not null"), "lines-places")
+    places = cut(chunks.select("id", "sum", F.inline_outer("chunks")).where("hash is not null"), "lines-places", "zstd")
     # Written, so that both sides of the joins have an exchange of their own and a frequent chunk's rows can be split.
     repeated = cut(places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "lines-repeated")
-    found = cut(places.join(repeated, "hash"), "lines-found")
+    found = cut(places.join(repeated, "hash"), "lines-found", "zstd")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "sum", "idx")
     firsts = cut(found.groupBy("hash").agg(F.min(order).alias("first")), "lines-firsts")
     drop(places)
+    drop(repeated)
+    written = found, firsts
     found = found.join(firsts, "hash").select("id", "sum", F.struct("idx", "hash", (order == F.col("first")).alias("first")).alias("place"))
     found = found.groupBy("id", "sum").agg(F.collect_set("place").alias("places"))
     joined = rows.select("doc", *key).alias("a").join(found.alias("b"), F.expr("a.id <=> b.id and a.sum = b.sum"), "left").select("doc", "a.id", "a.sum", "places")
     joined = cut(joined, "lines-joined", "zstd")
+    for old in written:
+        drop(old)
 
     texts = lambda lines: F.transform("places", lambda p: F.struct(p["idx"].alias("idx"), p["hash"].alias("hash"), _chunk_text(lines, p["idx"]).alias("t")))
     held = joined.where("places is not null").select("id", "sum", F.inline_outer(_with(_lines(text), texts))).where("hash is not null")
