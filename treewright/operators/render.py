@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Glyphs by relation, for a node with later siblings and for the last one, and what its column goes on with.
 GLYPHS = {"call": ("├─ ", "└─ ", "│  "), "dispatch_candidate": ("╠═ ", "╚═ ", "║  "), "back_edge": ("├─ ", "└─ ", "│  ")}
+#: Fixed value: columns from the longest line to the first rail, and from rail to rail.
+RAIL = 3
 COLOURS = {"+": "\x1b[32m", "-": "\x1b[31m"}
 RESET = "\x1b[0m"
 
@@ -42,35 +44,33 @@ def tree_lines(nodes: list[dict], ansi: bool = False) -> list[str]:
 
 def with_rails(texts: list[str], anchors: list[str | None], targets: list[str | None]) -> list[str]:
     """P5: each back edge is tied to the nearest earlier line with its key and children; ends of one anchor share a rail."""
+    nearest: dict[str, int] = {}
     ends: dict[int, list[int]] = {}
-    for end, target in enumerate(targets):
-        start = next((k for k in range(end - 1, -1, -1) if target is not None and anchors[k] == target), None)
-        if start is not None:
-            ends.setdefault(start, []).append(end)
+    for k, (anchor, target) in enumerate(zip(anchors, targets)):
+        if target in nearest:
+            ends.setdefault(nearest[target], []).append(k)
+        if anchor is not None:
+            nearest[anchor] = k
     if not ends:
         return texts
-    grid = [list(t.rstrip()) for t in texts]
-    width = [len(row) for row in grid]
-
-    def put(row: int, column: int, glyph: str) -> None:
-        cells = grid[row]
-        cells.extend(" " * (column + 1 - len(cells)))
-        cells[column] = "┼" if {cells[column], glyph} == {"─", "│"} else glyph
-
-    rail = max(width) + 3
-    for start in sorted(ends):
-        put(start, width[start] + 1, "◀")
-        for column in range(width[start] + 2, rail):
-            put(start, column, "─")
-        put(start, rail, "┐")
-        for row in range(start + 1, ends[start][-1]):
-            put(row, rail, "│")
-        for end in ends[start]:
-            for column in range(width[end] + 1, rail):
-                put(end, column, "─")
-            put(end, rail, "┘" if end == ends[start][-1] else "┤")
-        rail += 3
-    return ["".join(row).rstrip() for row in grid]
+    first = max(len(t.rstrip()) for t in texts) + RAIL
+    spans = [(start, found[-1], first + RAIL * n) for n, (start, found) in enumerate(sorted(ends.items()))]
+    tips = {}  # line: the rail it joins, what stands before the line to it, the glyph on the rail
+    for start, stop, column in spans:
+        tips |= {end: (column, " ", "┘" if end == stop else "┤") for end in ends[start]}
+        tips[start] = column, " ◀", "┐"
+    out = []
+    for k, text in enumerate(texts):
+        row = text.rstrip()
+        passing = {column for start, stop, column in spans if start < k < stop}
+        if k in tips:
+            column, head, glyph = tips[k]
+            row += head
+            row += "".join("┼" if c in passing else "─" for c in range(len(row), column)) + glyph
+        for column in sorted(c for c in passing if c >= len(row)):
+            row = row.ljust(column) + "│"
+        out.append(row)
+    return out
 
 
 def render(diff: DataFrame, ansi: bool = False) -> DataFrame:
