@@ -19,10 +19,22 @@ def _named(df: DataFrame, prefix: str, file: str) -> DataFrame:
     return df.select(F.col(file).alias("file"), *[F.col(c).alias(prefix + c) for c in df.columns if c != file])
 
 
+def _level(a, b):
+    """How many low bits of two line numbers must go until they are equal."""
+    return F.when(a == b, 0).otherwise(F.length(F.bin(a.bitwiseXOR(b))))
+
+
 def tightest_enclosing(inner: DataFrame, outer: DataFrame, inner_id: str, outer_id: str, file: str = "file") -> DataFrame:
-    """(inner_id, outer_id): of the spans of the same file that hold a span, the one of least extent, then least id."""
+    """(inner_id, outer_id): of the spans of the same file that hold a span, the one of least extent, then least id.
+
+    Lines are halved into aligned blocks of 2 ** level. A span lies in the smallest block that holds it, and
+    what it holds lies in the same block: so a span meets the spans of the at most 32 blocks around it, which
+    cross their block's middle, not all spans of its file.
+    """
     a, b = _named(inner, "i_", file), _named(outer, "o_", file)
-    pairs = a.join(b, "file").where(scalars.contains(_span("o_"), _span("i_")))
+    b = b.withColumn("level", _level(F.col("o_sl"), F.col("o_el"))).withColumn("block", F.expr("shiftright(o_sl, level)"))
+    a = a.withColumn("level", F.explode(F.sequence(_level(F.col("i_sl"), F.col("i_el")), F.lit(31)))).withColumn("block", F.expr("shiftright(i_sl, level)"))
+    pairs = a.join(b, ["file", "level", "block"]).where(scalars.contains(_span("o_"), _span("i_")))
     best = F.min_by(F.col(f"o_{outer_id}"), F.struct(scalars.extent(_span("o_")), f"o_{outer_id}"))
     return pairs.groupBy(F.col(f"i_{inner_id}").alias(inner_id)).agg(best.alias(outer_id))
 
@@ -41,11 +53,24 @@ def latest_before(points: DataFrame, events: DataFrame, keys: list[str], point:
 
 
 def nearest_unique(points: DataFrame, places: DataFrame, key: list[str], point: str, place: str, value: str) -> DataFrame:
-    """(point columns, value): the place of the same key nearest to a point, where exactly one is nearest."""
-    pairs = points.join(places, key).withColumn("_d", F.abs(F.col(point) - F.col(place)))
-    least = pairs.groupBy(*key, point).agg(F.min(F.struct("_d")).alias("_m"))
-    near = pairs.join(least, [*key, point]).where("_d = _m._d")
-    return near.groupBy(*key, point).agg(F.count("*").alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
+    """(point columns, value): the place of the same key nearest to a point, where exactly one is nearest.
+
+    One sort over both tables by key and position: the nearest place is the last before or the first after.
+    """
+    at = places.groupBy(*key, F.col(place).alias("_at")).agg(F.count("*").alias("_n"), F.min(value).alias("_value"))
+    at = at.select(*key, "_at", F.lit(0).alias("_kind"), F.struct(F.col("_at").alias("at"), F.col("_n").alias("n"), F.col("_value").alias("value")).alias("_place"))
+    rows = at.unionByName(points.select(*key, F.col(point).alias("_at"), F.lit(1).alias("_kind")).distinct(), allowMissingColumns=True)
+    order = Window.partitionBy(*key).orderBy("_at", "_kind")
+    before = F.last("_place", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # From the other end, so that this is a running value too.
+    back = Window.partitionBy(*key).orderBy(F.desc("_at"), F.desc("_kind"))
+    after = F.last("_place", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"_before": before, "_after": after}).where("_kind = 1")
+    near, far = F.col("_at") - F.col("_before.at"), F.col("_after.at") - F.col("_at")
+    left = F.col("_before").isNotNull() & (F.col("_after").isNull() | (near < far))
+    right = F.col("_after").isNotNull() & (F.col("_before").isNull() | (far < near))
+    found = rows.withColumn("_found", F.when(left, F.col("_before")).when(right, F.col("_after"))).where("_found.n = 1")
+    return found.select(*key, F.col("_at").alias(point), F.col("_found.value").alias(value))
 
 
 def claim_events(calls: DataFrame, events: DataFrame, name_penalty: int = 1_000_000) -> DataFrame:

@@ -88,20 +88,19 @@ def g5_fallback_resolution(spark, d):
     return build.resolve_fallback(*_fallback(spark, d)).select("caller", "resolved")
 
 
-@query(_with(" select side, split_part(src, ':', 1) as src_kind, split_part(dst, ':', 1) as dst_kind, count(*) as n from edges where dst in (select sym from functions f where f.side = edges.side) group by 1, 2, 3"))
+@query(_with(" select side, src, dst from edges where dst in (select sym from functions f where f.side = edges.side)"))
 def g6_edges(spark, d):
     out = None
     for side in ("before", "after"):
         found = build.edges(bridge.calls(spark, d, side), None, bridge.functions(spark, d, side))
-        found = found.groupBy(F.lit(side).alias("side"), _kind("src").alias("src_kind"), _kind("dst").alias("dst_kind")).agg(F.count("*").alias("n"))
+        found = found.select(F.lit(side).alias("side"), "src", "dst")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-@query(_with(" select caller, target, ord, row_number() over (partition by caller, target order by ord desc) = 1 as expand from calls where side = 'after' and caller like 'order:%'"))
+@query(_with(" select caller, target, ord, row_number() over (partition by caller, target order by ord desc) = 1 as expand from calls where side = 'after'"))
 def g7_last_occurrence(spark, d):
-    calls = bridge.calls(spark, d).where("caller like 'order:%'")
-    return build.expansion_flags(calls).select("caller", "target", "ord", "expand")
+    return build.expansion_flags(bridge.calls(spark, d)).select("caller", "target", "ord", "expand")
 
 
 def _events_as_calls(spark, d):
@@ -124,16 +123,16 @@ def g8_diagnostics(spark, d):
     return build.diagnostics(_events_as_calls(spark, d), "after: ")
 
 
-@query(_with(" select kind, count(*) as n from functions where side = 'after' and kind in ('region', 'part') group by kind"))
+@query(_with(" select sym from functions where side = 'after' and kind in ('region', 'part')"))
 def g9_files_in_scope(spark, d):
     functions = bridge.functions(spark, d)
     scope = spark.createDataFrame([("regions.rs",), ("parts.rs",)], "file string")
-    return build.in_scope(functions, scope).groupBy("kind").agg(F.count("*").alias("n"))
+    return build.in_scope(functions, scope).select("sym")
 
 
-@query(_with(" select count(*) as n from functions where side = 'after' and kind <> 'order'"))
+@query(_with(" select sym from functions where side = 'after' and kind <> 'order'"))
 def g10_public_symbols(spark, d):
-    return build.public_symbols(bridge.functions(spark, d)).agg(F.count("*").alias("n"))
+    return build.public_symbols(bridge.functions(spark, d)).select("sym")
 
 
 @query("select event_id, case when event_id % 4 = 0 then 'unresolved' when event_id % 3 > 0 then 'partial' else 'complete' end as resolution from events")
@@ -150,21 +149,25 @@ def r1_natural_roots(spark, d):
 
 
 #: Every part that no line holds is a root of its own; the cyclic rest hangs below the regions.
-@query(_with(" select split_part(sym, ':', 1) as kind, count(*) as n from functions where side = 'after' and sym not in (select dst from edges where side = 'after') group by 1"))
+@query(_with(" select sym from functions where side = 'after' and sym not in (select dst from edges where side = 'after')"))
 def r1_inferred_roots(spark, d):
-    roots = reach.inferred_roots(bridge.functions(spark, d), bridge.edges(spark, d), order=("file", "sl", "sym"))
-    return roots.groupBy(_kind("sym").alias("kind")).agg(F.count("*").alias("n"))
+    return reach.inferred_roots(bridge.functions(spark, d), bridge.edges(spark, d), order=("file", "sl", "sym")).select("sym")
 
 
-@query("with recursive f as (select distinct (user_id % 50) as src, event_id % 50 as dst from events where event_id % 9 = 0), r(s) as (select 7::bigint union select f.dst from r join f on f.src = r.s) select s::varchar as sym from r")
+@query(
+    """with recursive f as (select distinct user_id % 997 as src, event_id % 997 as dst from events), allowed as (select distinct event_id % 997 as s from events where event_type = 'purchase' union select 7),
+    r(s) as (select 7::bigint union select f.dst from r join f on f.src = r.s where f.dst in (select s from allowed)) select s::varchar as sym from r"""
+)
 def r2_scoped_reachability(spark, d):
-    e = bridge.load(spark, d, "events").where("event_id % 9 = 0").select((F.col("user_id") % 50).cast("string").alias("src"), (F.col("event_id") % 50).cast("string").alias("dst"))
-    return reach.reachable(e, _seed(spark, "7"))
+    e = bridge.load(spark, d, "events")
+    node = lambda c: (F.col(c) % 997).cast("string")
+    scope = e.where("event_type = 'purchase'").select(node("event_id").alias("sym")).union(_seed(spark, "7")).distinct()
+    return reach.reachable(e.select(node("user_id").alias("src"), node("event_id").alias("dst")), _seed(spark, "7"), scope=scope)
 
 
-@query(_with(", r(sym) as (select 'region:2' union select e.dst from r join edges e on e.src = r.sym and e.side = 'after') select split_part(sym, ':', 1) as kind, count(*) as n from r group by 1", True))
+@query(_with(", r(sym) as (select 'region:2' union select e.dst from r join edges e on e.src = r.sym and e.side = 'after') select sym from r", True))
 def r3_reachable(spark, d):
-    return reach.reachable(bridge.edges(spark, d), _seed(spark, "region:2")).groupBy(_kind("sym").alias("kind")).agg(F.count("*").alias("n"))
+    return reach.reachable(bridge.edges(spark, d), _seed(spark, "region:2"))
 
 
 @query("select s_name as sym from supplier where s_suppkey in (3, 5)")
@@ -174,22 +177,22 @@ def r4_resolve_entries(spark, d):
     return reach.resolve_entries(functions, "m.k3").select("sym").unionByName(reach.resolve_entries(functions, "k5").select("sym"))
 
 
-@query(_with(", r(sym) as (select 'supplier:3' union select e.src from r join edges e on e.dst = r.sym and e.side = 'after') select split_part(sym, ':', 1) as kind, count(*) as n from r group by 1", True))
+@query(_with(", r(sym) as (select 'supplier:3' union select e.src from r join edges e on e.dst = r.sym and e.side = 'after') select sym from r", True))
 def r5_affected(spark, d):
-    return reach.affected(bridge.edges(spark, d), _seed(spark, "supplier:3")).groupBy(_kind("sym").alias("kind")).agg(F.count("*").alias("n"))
+    return reach.affected(bridge.edges(spark, d), _seed(spark, "supplier:3"))
 
 
-@query(_with(", r(sym) as (select 'order:' || o_orderkey from orders where o_orderpriority like '1%' union select e.src from r join edges e on e.dst = r.sym and e.side = 'after') select split_part(sym, ':', 1) as kind, count(*) as n from r group by 1", True))
+@query(_with(", r(sym) as (select 'order:' || o_orderkey from orders where o_orderpriority like '1%' union select e.src from r join edges e on e.dst = r.sym and e.side = 'after') select sym from r", True))
 def r6_dispatch_context(spark, d):
     urgent = bridge.load(spark, d, "orders").where("o_orderpriority like '1%'").select(bridge.sym("order", "o_orderkey").alias("caller"), F.lit("dynamic").alias("target_tag"))
-    return reach.dispatch_context(bridge.edges(spark, d), urgent).groupBy(_kind("sym").alias("kind")).agg(F.count("*").alias("n"))
+    return reach.dispatch_context(bridge.edges(spark, d), urgent)
 
 
 @query(
     _with(
         """, flagged as (select *, row_number() over (partition by caller, target order by ord desc) = 1 as expand from calls where side = 'after'
 ), t(root, depth, key, anc, path, grow) as (
-  select sym, 0, sym, []::varchar[], []::bigint[], true from functions where side = 'after' and kind = 'supplier'
+  select sym, 0, sym, []::varchar[], []::bigint[], true from functions where side = 'after' and kind in ('supplier', 'region')
   union all
   select t.root, t.depth + 1, c.target, list_append(t.anc, t.key), list_append(t.path, c.ord), c.expand from t join flagged c on c.caller = t.key and t.grow and t.depth < 3 and not list_contains(t.anc, t.key)
 ) select root, depth, case when grow and depth < 3 and list_contains(anc, key) then 'back_edge' else 'call' end as relation, count(*) as n, max(key) as last_key, sum(len(path))::bigint as steps from t group by 1, 2, 3""",
@@ -198,7 +201,7 @@ def r6_dispatch_context(spark, d):
 )
 def r7_expand(spark, d):
     functions, calls = bridge.functions(spark, d), build.expansion_flags(bridge.calls(spark, d))
-    tree = expand(functions, calls, functions.where("kind = 'supplier'").select("sym"), 3)
+    tree = expand(functions, calls, functions.where("kind in ('supplier', 'region')").select("sym"), 3)
     return tree.groupBy("root", "depth", "relation").agg(F.count("*").alias("n"), F.max("key").alias("last_key"), F.sum(F.size("path")).alias("steps"))
 
 
@@ -209,12 +212,12 @@ def r7_expand(spark, d):
   (select f.sym, coalesce(string_agg(target, ',' order by ord), '') as s from functions f left join calls c on c.side = f.side and c.caller = f.sym where f.side = 'before' group by f.sym) b full join
   (select f.sym, coalesce(string_agg(target, ',' order by ord), '') as s from functions f left join calls c on c.side = f.side and c.caller = f.sym where f.side = 'after' group by f.sym) a on a.sym = b.sym
   where a.s is distinct from b.s
-) select split_part(sym, ':', 1) as kind, count(*) as n, min(sym) as first from changed group by 1"""
+) select sym from changed"""
     )
 )
 def r10_d6_locally_changed(spark, d):
     shapes = [local_shapes(bridge.calls(spark, d, s), bridge.functions(spark, d, s)) for s in ("before", "after")]
-    return diff.locally_changed(*shapes).groupBy(_kind("sym").alias("kind")).agg(F.count("*").alias("n"), F.min("sym").alias("first"))
+    return diff.locally_changed(*shapes).select("sym")
 
 
 # Diff and rendering
@@ -268,7 +271,7 @@ def d7_changed_entries(spark, d):
 
 
 @query(
-    """with o as (select event_id, user_id, event_id::int as sl, event_id::int + (value * 10)::int as el from events), i as (select event_id as inner_id, user_id, event_id::int as sl from events where event_id % 11 = 0)
+    """with o as (select event_id, user_id, event_id::int as sl, event_id::int + (value * 10)::int as el from events), i as (select event_id as inner_id, user_id, event_id::int as sl from events)
     select inner_id, arg_min(o.event_id, (o.el - o.sl)::bigint * 1000000000 + o.event_id) as outer_id from i join o on i.user_id = o.user_id and o.sl <= i.sl and i.sl <= o.el group by inner_id"""
 )
 def x22_tightest_enclosing(spark, d):
@@ -276,7 +279,7 @@ def x22_tightest_enclosing(spark, d):
     file, end = F.col("user_id").cast("string"), F.bround(F.col("value") * 10, 0).cast("int") + F.col("event_id").cast("int")
     zero = F.lit(0)
     outer = e.select(F.col("event_id").alias("outer_id"), file.alias("file"), F.col("event_id").cast("int").alias("sl"), zero.alias("sc"), end.alias("el"), zero.alias("ec"))
-    inner = e.where("event_id % 11 = 0").select(F.col("event_id").alias("inner_id"), file.alias("file"), F.col("event_id").cast("int").alias("sl"), zero.alias("sc"), F.col("event_id").cast("int").alias("el"), zero.alias("ec"))
+    inner = e.select(F.col("event_id").alias("inner_id"), file.alias("file"), F.col("event_id").cast("int").alias("sl"), zero.alias("sc"), F.col("event_id").cast("int").alias("el"), zero.alias("ec"))
     return spans.tightest_enclosing(inner, outer, "inner_id", "outer_id")
 
 
@@ -289,13 +292,13 @@ def f16_latest_before(spark, d):
 
 
 @query(
-    """with p as (select distinct user_id, event_id from events where event_id % 13 = 0), q as (select user_id, event_id as place from events where event_id % 4 = 1),
+    """with p as (select distinct user_id, event_id from events), q as (select user_id, event_id as place from events where event_type = 'click'),
     r as (select p.*, place, rank() over (partition by p.user_id, p.event_id order by abs(p.event_id - place)) as k from p join q using (user_id))
     select user_id, event_id, min(place) as place from r where k = 1 group by 1, 2 having count(*) = 1"""
 )
 def x23_nearest_unique(spark, d):
     e = bridge.load(spark, d, "events")
-    points, places = e.where("event_id % 13 = 0").select("user_id", "event_id").distinct(), e.where("event_id % 4 = 1").select("user_id", F.col("event_id").alias("place"))
+    points, places = e.select("user_id", "event_id").distinct(), e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("place"))
     return spans.nearest_unique(points, places, ["user_id"], "event_id", "place", "place")
 
 
@@ -306,14 +309,14 @@ def f1_merge_flows(spark, d):
 
 
 @query(
-    """with recursive links as (select distinct 'f' || (user_id % 97) as fn, event_id % 3 as param, 'f' || (event_id % 97) as callee, (event_id // 3) % 3 as callee_param from events where event_id % 40 = 1),
-    r(fn, param) as (select distinct 'f' || (user_id % 97), event_id % 3 from events where event_id % 900 = 5 union select l.fn, l.param from r join links l on l.callee = r.fn and l.callee_param = r.param) select * from r"""
+    """with recursive links as (select distinct 'f' || (user_id % 97) as fn, event_id % 3 as param, 'f' || (event_id % 97) as callee, (event_id // 3) % 3 as callee_param from events),
+    r(fn, param) as (select distinct 'f' || (user_id % 97), event_id % 3 from events where event_type = 'purchase' union select l.fn, l.param from r join links l on l.callee = r.fn and l.callee_param = r.param) select * from r"""
 )
 def f13_called_parameters(spark, d):
     e = bridge.load(spark, d, "events")
     name = lambda c: F.concat(F.lit("f"), (F.col(c) % 97).cast("string"))
-    direct = e.where("event_id % 900 = 5").select(name("user_id").alias("fn"), (F.col("event_id") % 3).alias("param"))
-    passed = e.where("event_id % 40 = 1").select(name("user_id").alias("fn"), (F.col("event_id") % 3).alias("param"), name("event_id").alias("callee"), (F.floor(F.col("event_id") / 3) % 3).alias("callee_param"))
+    direct = e.where("event_type = 'purchase'").select(name("user_id").alias("fn"), (F.col("event_id") % 3).alias("param"))
+    passed = e.select(name("user_id").alias("fn"), (F.col("event_id") % 3).alias("param"), name("event_id").alias("callee"), (F.floor(F.col("event_id") / 3) % 3).alias("callee_param"))
     return flow.called_parameters(direct, passed)
 
 
@@ -373,11 +376,11 @@ def f9_longest_base(spark, d):
 
 
 @query(
-    """with b as (select l_orderkey as caller, 'T' || l_suppkey % 3 as t, list_sort(list(distinct 'B' || l_partkey % 2)) as bs from lineitem where l_orderkey % 5 = 0 group by 1, 2)
-    select distinct l_orderkey as caller, l_linenumber::int as ord, case when len(bs) = 1 then t || ' as ' || bs[1] else t end || '::m' as target from lineitem join b on caller = l_orderkey and t = 'T' || l_suppkey % 3 where l_orderkey % 5 = 0"""
+    """with b as (select l_orderkey as caller, 'T' || l_suppkey % 3 as t, list_sort(list(distinct 'B' || l_partkey % 2)) as bs from lineitem group by 1, 2)
+    select distinct l_orderkey as caller, l_linenumber::int as ord, case when len(bs) = 1 then t || ' as ' || bs[1] else t end || '::m' as target from lineitem join b on caller = l_orderkey and t = 'T' || l_suppkey % 3"""
 )
 def x13_open_generics(spark, d):
-    lines = bridge.load(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    lines = bridge.load(spark, d, "lineitem")
     kind = F.concat(F.lit("T"), (F.col("l_suppkey") % 3).cast("string"))
     calls = lines.select(F.col("l_orderkey").alias("caller"), F.col("l_linenumber").cast("int").alias("ord"), F.lower(kind).alias("receiver"), F.lit("m").alias("method")).distinct()
     parameters = lines.select(F.col("l_orderkey").alias("caller"), F.lower(kind).alias("receiver"), kind.alias("type")).distinct()
@@ -385,11 +388,12 @@ def x13_open_generics(spark, d):
     return flow.rewrite_open_generics(calls, parameters, bounds)
 
 
-@query("select a.event_id as caller, min(b.event_id)::varchar as sym from events a join events b on a.user_id = b.user_id and a.event_type = b.event_type where a.event_id % 5 = 0 and b.event_id % 4 = 0 group by 1 having count(distinct b.event_id) = 1")
+@query("select a.event_id as caller, min(b.event_id)::varchar as sym from events a join events b on a.user_id = b.user_id and a.event_type = b.event_type and a.event_id % 40 = b.event_id % 40 group by 1 having count(distinct b.event_id) = 1")
 def x19_groups(spark, d):
     e = bridge.load(spark, d, "events")
-    calls = e.where("event_id % 5 = 0").select(F.col("event_id").alias("caller"), F.lit(0).alias("ord"), F.col("event_type").alias("name"), F.col("user_id").alias("group"))
-    members = e.where("event_id % 4 = 0").select(F.col("user_id").alias("group"), F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("sym"))
+    name = F.concat("event_type", (F.col("event_id") % 40).cast("string")).alias("name")
+    calls = e.select(F.col("event_id").alias("caller"), F.lit(0).alias("ord"), name, F.col("user_id").alias("group"))
+    members = e.select(F.col("user_id").alias("group"), name, F.col("event_id").cast("string").alias("sym"))
     return flow.resolve_in_groups(calls, members).select("caller", "sym")
 
 
