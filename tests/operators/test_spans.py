@@ -21,6 +21,16 @@ def test_tightest_enclosing_equals_brute_force(spark):
     assert {x.inner: x.outer for x in got.collect()} == expected and len(expected) > 50
 
 
+def test_enclosing_spans_are_not_sent_to_the_driver(spark, tmp_path):
+    rows = spark.range(3000).select("id", F.lit("a").alias("file"), F.col("id").cast("int").alias("sl"), F.lit(0).alias("sc"), (F.col("id") + F.col("id") % 5).cast("int").alias("el"), F.lit(9).alias("ec"))
+    rows.write.parquet(f"{tmp_path}/spans")
+    rows = spark.read.parquet(f"{tmp_path}/spans")
+    got = spans.tightest_enclosing(rows.withColumnRenamed("id", "inner"), rows.withColumnRenamed("id", "outer"), "inner", "outer")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {(x.inner, x.outer) for x in got.collect()} == {(k, k) for k in range(3000)}
+
+
 def test_nearest_unique_equals_brute_force(spark):
     r = random.Random(7)
     points = [(r.choice("ab"), r.randrange(40)) for _ in range(60)] + [("c", 1)]

@@ -29,12 +29,15 @@ def tightest_enclosing(inner: DataFrame, outer: DataFrame, inner_id: str, outer_
 
     Lines are halved into aligned blocks of 2 ** level. A span lies in the smallest block that holds it, and
     what it holds lies in the same block: so a span meets the spans of the at most 32 blocks around it, which
-    cross their block's middle, not all spans of its file.
+    cross their block's middle, not all spans of its file. Levels that no outer span has are left out. Both
+    sides are sorted, since files compress so well that a table taken for small may not fit the driver.
     """
     a, b = _named(inner, "i_", file), _named(outer, "o_", file)
     b = b.withColumn("level", _level(F.col("o_sl"), F.col("o_el"))).withColumn("block", F.expr("shiftright(o_sl, level)"))
-    a = a.withColumn("level", F.explode(F.sequence(_level(F.col("i_sl"), F.col("i_el")), F.lit(31)))).withColumn("block", F.expr("shiftright(i_sl, level)"))
-    pairs = a.join(b, ["file", "level", "block"]).where(scalars.contains(_span("o_"), _span("i_")))
+    levels = b.agg(F.collect_set("level").alias("levels"))
+    own = _level(F.col("i_sl"), F.col("i_el"))
+    a = a.crossJoin(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda x: x >= own))).withColumn("block", F.expr("shiftright(i_sl, level)")).drop("levels")
+    pairs = a.join(b.hint("merge"), ["file", "level", "block"]).where(scalars.contains(_span("o_"), _span("i_")))
     best = F.min_by(F.col(f"o_{outer_id}"), F.struct(scalars.extent(_span("o_")), f"o_{outer_id}"))
     return pairs.groupBy(F.col(f"i_{inner_id}").alias(inner_id)).agg(best.alias(outer_id))
 
