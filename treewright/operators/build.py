@@ -51,8 +51,8 @@ def base_container(container: Column) -> Column:
     return F.element_at(F.split(own, "::"), -1)
 
 
-def _ends_with(longer: Column, shorter: Column) -> Column:
-    return (F.size(longer) >= F.size(shorter)) & (F.slice(longer, F.greatest(F.size(longer) - F.size(shorter) + 1, F.lit(1)), F.greatest(F.size(shorter), F.lit(1))) == shorter)
+def _asks(kind: str, names: Column, word: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), names.alias("names"), word.alias("word"))
 
 
 def resolve_fallback(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -60,24 +60,37 @@ def resolve_fallback(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
     calls need side, caller, ord, syntax_tag, syntax_parts, receiver, method,
     confirmed and target_tag; functions side, sym, language, module, container, name.
+
+    A call asks for one thing: a container in its module, its module, an end of a qualified name or a type.
+    Functions are filed under all they answer to, with only the least and greatest symbol of each entry,
+    so a name that many functions and calls share makes no pairs. Both sides are sorted.
     """
-    own = functions.select("side", F.col("sym").alias("caller"), F.col("language").alias("c_language"), F.col("module").alias("c_module"), F.col("container").alias("c_container"))
-    open_calls = calls.where((F.col("target_tag") == "unresolved") & ~F.col("confirmed")).join(own, ["side", "caller"])
+    none, no_word = F.array().cast("array<string>"), F.lit("")
+    own = functions.select("side", F.col("sym").alias("caller"), "language", F.col("module").alias("c_module"), F.col("container").alias("c_container"))
+    open_calls = calls.where((F.col("target_tag") == "unresolved") & ~F.col("confirmed")).join(own.hint("merge"), ["side", "caller"])
     parts = F.filter("syntax_parts", lambda p: ~p.isin("crate", "self", "super"))
-    open_calls = open_calls.withColumn("parts", parts).withColumn("lookup", F.when(F.col("syntax_tag") == "path", F.element_at("syntax_parts", -1)).otherwise(F.col("method")))
-    index = name_index(functions).select("side", "lookup", "sym", F.col("language").alias("c_language"), "module", "container", F.col("name").alias("f_name"))
-    pairs = open_calls.join(index, ["side", "lookup", "c_language"])
-    same_module, no_container = F.col("module") == F.col("c_module"), F.col("container").isNull()
-    same_container = same_module & (F.col("container") == F.col("c_container"))
-    qualified = F.concat("module", F.when(no_container, F.array().cast("array<string>")).otherwise(F.array("container")), F.array("f_name"))
-    fits = (
-        F.when(F.col("syntax_tag") == "self_method", same_container)
-        .when((F.col("syntax_tag") == "path") & (F.element_at("syntax_parts", 1) == "Self"), same_container)
-        .when((F.col("syntax_tag") == "path") & (F.size("syntax_parts") == 1), same_module & no_container)
-        .when(F.col("syntax_tag") == "path", _ends_with(qualified, F.col("parts")))
-        .when(F.col("syntax_tag") == "method", F.col("receiver").rlike("^\\p{Lu}") & (base_container(F.col("container")) == F.col("receiver")))
+    path = F.col("syntax_tag") == "path"
+    asks = (
+        F.when((F.col("syntax_tag") == "self_method") | (path & (F.element_at("syntax_parts", 1) == "Self")), _asks("container", F.col("c_module"), F.col("c_container")))
+        .when(path & (F.size("syntax_parts") == 1), _asks("module", F.col("c_module"), no_word))
+        .when(path, _asks("end", parts, no_word))
+        .when((F.col("syntax_tag") == "method") & F.col("receiver").rlike("^\\p{Lu}"), _asks("type", none, F.col("receiver")))
+    )
+    lookup = F.when(path, F.element_at("syntax_parts", -1)).otherwise(F.col("method"))
+    open_calls = open_calls.select("side", "caller", "ord", "language", lookup.alias("lookup"), asks.alias("asks")).select("side", "caller", "ord", "language", "lookup", "asks.*")
+
+    module, container = F.col("module"), F.col("container")
+    qualified = F.concat("module", F.when(container.isNull(), none).otherwise(F.array("container")), F.array("name"))
+    ends = F.transform(F.sequence(F.lit(0), F.size("qualified")), lambda n: _asks("end", F.slice("qualified", F.size("qualified") - n + 1, n), no_word))
+    answers = F.concat(
+        F.when(container.isNull(), F.array(_asks("module", module, no_word))).otherwise(F.array(_asks("container", module, container), _asks("type", none, base_container(container)))),
+        F.when(F.col("qualified").isNotNull(), ends).otherwise(F.array().cast("array<struct<kind:string,names:array<string>,word:string>>")),
     )
-    return pairs.where(fits).groupBy("side", "caller", "ord").agg(F.collect_set("sym").alias("found")).where(F.size("found") == 1).select("side", "caller", "ord", F.col("found")[0].alias("resolved"))
+    index = name_index(functions).withColumn("qualified", qualified).select("side", "lookup", "language", "sym", F.explode(answers).alias("answer"))
+    keys = ["side", "lookup", "language", "kind", "names", "word"]
+    index = index.select("side", "lookup", "language", "sym", "answer.*").groupBy(*keys).agg(F.min("sym").alias("least"), F.max("sym").alias("most"))
+    found = open_calls.join(index.hint("merge"), keys).groupBy("side", "caller", "ord").agg(F.min("least").alias("resolved"), F.max("most").alias("most"))
+    return found.where("resolved = most").select("side", "caller", "ord", "resolved")
 
 
 def edges(calls: DataFrame, candidates: DataFrame | None, functions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
